@@ -11,6 +11,7 @@ import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -19,6 +20,8 @@ from .common import small_batches
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond that the cache starts anew.
 CACHE_WORDS = 800_000
+#: A character that the tokenizer gives one id, which no other text has.
+MARK = "\x01"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,11 +38,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.value, self.limit, self.cache = Tokenizer.from_file(path), value, cache_words, {}
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without spaces: many are encoded as one text, with a mark between them that is a word of its own."""
+        plain = [w for w in words if MARK not in w]
+        out = dict(zip(odd, self._ids(odd), strict=True)) if (odd := [w for w in words if MARK in w]) else {}
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.asarray(self.tok.encode_batch_fast([f" {MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            assert len(ends) == len(part)
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                out[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        return [out[w] for w in words]
 
     def words(self, text: str) -> list:
         """The values of the text's words, in order."""
@@ -53,7 +70,7 @@ class WordEncoder:
             if len(self.cache) + len(missing) > self.limit:
                 self.cache.clear()
                 missing = list(set(words))
-            self.cache.update(zip(missing, map(self.value, self._ids(missing)), strict=True))
+            self.cache.update(zip(missing, map(self.value, self._ids_of_words(missing)), strict=True))
             return list(map(self.cache.__getitem__, words))
 
     def ids(self, text: str) -> bytes:
