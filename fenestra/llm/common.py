@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: bounds a Python worker's memory where texts are long.
 ARROW_ROWS = 512
+T = TypeVar("T")
+
+
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, make: Callable[[], T], most: int = 3) -> T:
+    """What a Python worker keeps from task to task, such as a cache of words; the ``most`` last made are kept."""
+    if key not in _STATE:
+        while len(_STATE) >= most:
+            del _STATE[next(iter(_STATE))]
+        _STATE[key] = make()
+    return _STATE[key]  # type: ignore[return-value]
 
 
 def shared_dir(spark: SparkSession) -> str:

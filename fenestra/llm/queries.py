@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, linededup, neardup, packing, quality, tokens
+from . import decontam, htmltext, linededup, neardup, packing, quality, sharding, tokens, toxicity, urlfilter
 from .common import materialise, table
 
 
@@ -21,15 +21,36 @@ def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_totals(materialise(tokens.length_histogram(table(spark, sf_dir, "documents")), "histogram"))
 
 
+def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_curve(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "deleted_lines", "deleted_words", "earlier", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.length("text").cast("long").alias("n_chars_left"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = htmltext.main_text(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -39,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_bloom_cascade": urlfilter.JUDGE_SQL}
