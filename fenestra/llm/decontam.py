@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, worker_state
 
 ITEMS, BLOCK, THRESHOLD, COVER = 1024, 4, 0.6, 0.5
 K1, B, SHINGLE = 1.2, 0.75, 5
@@ -178,15 +179,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     out = spark.createDataFrame([], schema)
     for rows in _blocks_of(benchmark, items):
         shared = spark.sparkContext.broadcast(Index.build(rows))
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_searcher(shared, threshold, cover), schema))
+        token = f"terms {uuid.uuid4().hex}"
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_searcher(shared, token, threshold, cover), schema))
     best = F.max(F.struct("score", "question_cover", "answer_cover"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-def _searcher(shared, threshold: float, cover: float, keep: int = 500_000):
+def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        known: dict[str, int] = {}
+        known: dict[str, int] = worker_state(token, dict)
         get = index.vocabulary.get
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

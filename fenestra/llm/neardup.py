@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, worker_state
 
 BANDS, ROWS, SKETCH_BITS, SHINGLE = 24, 4, 512, 5
 #: Members of a bucket that one task compares with those of another block.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        shingles = worker_state("shingler", Shingler)
         row = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         salt = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
@@ -138,7 +138,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        shingles = worker_state("shingler", Shingler)
         for batch in batches:
             s = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "s"])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_state
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond that the cache starts anew.
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, context: int = 2048, end_id: int = 1, path: st
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = WordEncoder(path), int(end_id).to_bytes(4, "little")
+        enc, end = worker_state(f"ids {path}", lambda: WordEncoder(path)), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -123,7 +123,7 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = WordEncoder(path, lambda b: len(b) // 4), Counter()
+        enc, seen = worker_state(f"lengths {path}", lambda: WordEncoder(path, lambda b: len(b) // 4)), Counter()
         for batch in batches:
             seen.update(sum(enc.words(t)) if t else 0 for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n_docs"])
