@@ -12,6 +12,7 @@ from the quartiles of all its texts; texts below or above it are rejected.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, worker_state
 
 ORDER = 5
 FOLD_BITS = 21
@@ -29,6 +30,8 @@ FOLD_BITS = 21
 LOWER, UPPER = 8.0, 8.0
 #: The narrowest band, in bits around the median.
 LEAST_BITS = 2.0
+#: Languages up to which their bands are broadcast.
+MAX_BROADCAST_LANGS = 10_000
 PAD, END = "\x02", "\x03"
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -204,9 +207,10 @@ def score(docs: DataFrame, model: KneserNey, keep_words: int = 500_000) -> DataF
     """Counts of every text and its mean bits per word (null without words)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    token = f"words {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, memo, size = shared.value, {}, 0
+        lm, memo = shared.value, worker_state(token, dict)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -219,12 +223,11 @@ def score(docs: DataFrame, model: KneserNey, keep_words: int = 500_000) -> DataF
                         total = sum(map(known.__getitem__, words))
                     except KeyError:
                         missing = list(set(words).difference(known))
-                        if size + len(missing) > keep_words:
-                            memo, size = {}, 0
+                        if sum(map(len, memo.values())) + len(missing) > keep_words:
+                            memo.clear()
                             known = memo.setdefault(lang or "", {})
                             missing = list(set(words))
                         known.update(zip(missing, lm.bits([w.decode("utf-8", "replace") for w in missing], _lang_number(lang)), strict=True))
-                        size += len(missing)
                         total = sum(map(known.__getitem__, words))
                     bits = -total / counts[0]
                 rows.append((doc_id, lang or "", *counts, bits))
@@ -257,7 +260,10 @@ def quality(docs: DataFrame) -> DataFrame:
     scored = materialise(score(docs, fit_model(docs)), "scored")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands(scored), "lang", "left").withColumn("base_failed", failed).select(
+    limits = materialise(bands(scored), "bands")
+    # languages are few; the size is looked at, and a table of very many is joined by shuffle
+    limits = F.broadcast(limits) if limits.count() <= MAX_BROADCAST_LANGS else limits
+    return scored.join(limits, "lang", "left").withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
         F.pow(F.lit(2.0), "bits").alias("perplexity"), "lang")
 
