@@ -5,7 +5,7 @@
    differ, and its population count estimates their similarity.
 2. Equal sets form a class; only the class's smallest document goes on.
 3. Documents that share a band are candidates. In each bucket every member is compared with the smallest one. What those
-   links leave unconnected is compared pair by pair across the components that meet in a bucket, cut into blocks.
+   links leave unconnected is compared across the components that meet in a bucket, block by block within tasks.
 4. Candidates whose odd sketches are too far apart are dropped (a true link fails with a chance below 1e-9); the rest is
    confirmed on the full sets.
 5. Links become components by alternating large-star and small-star steps over tables in the shared folder.
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise, small_batches, worker_state
 
 BANDS, ROWS, SKETCH_BITS, SHINGLE = 24, 4, 512, 5
-#: Members of a bucket that one task compares with those of another block.
-BLOCK = 512
+#: Members of a group that one task compares with those of another block.
+BLOCK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,32 +180,70 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _cross_pairs(buckets: DataFrame, limit: int) -> DataFrame:
-    """Pairs across components in buckets where several meet, near enough by odd sketch: (a, b).
-
-    A bucket's members are cut into blocks of ``BLOCK``; each pair of blocks is one group's work.
-    """
-    mixed = buckets.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).cast("long").alias("parts"))
-    rows = buckets.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    # block i meets every block j: its rows go to the groups (min(i, j), max(i, j))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("band", "a", "component", "sketch", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
-
-    def run(groups: Iterator[pa.RecordBatch]) -> pa.Table:
-        t = groups
-        ids, comp, part = (t.column(c).to_numpy() for c in ("a", "component", "part"))
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        sk = np.array(t.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        a, b = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if p == q else True)]
-            near = js[np.bitwise_count(sk[js] ^ sk[i]).sum(axis=1) <= limit]
-            a += [ids[i]] * len(near)
-            b += ids[near].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    pairs = dealt.groupBy("band", "p", "q").applyInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _overlaps(one: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of one set with each of n sets, given as all their elements in order and their owners."""
+    lo, hi = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+    width = hi - lo
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+    return np.bincount(owners[at], minlength=n)
+
+
+def _links_between(t: pa.Table, limit: int, num: int, den: int) -> pa.Table:
+    """Links between different components in one block, or between two blocks, of documents that share bands.
+
+    A pair counts if it shares a band, its odd sketches are near enough and its full sets confirm it. Documents of the
+    largest component are not searched for: whatever they link to searches for them. Links that join what is joined
+    already are left out, so at most one link a document comes out."""
+    t = t.combine_chunks()
+    ids, comp, part = (t.column(c).to_numpy() for c in ("a", "component", "part"))
+    two = t.column("p")[0].as_py() != t.column("q")[0].as_py()
+    sketch = np.array(t.column("sketch").to_pylist(), dtype=np.int64).reshape(len(ids), -1).view(np.uint64)
+    # bands that a document shares with nobody are not there; a number of its own stands for them
+    bands = np.repeat(np.arange(len(ids), dtype=np.int64)[:, None], BANDS, axis=1)
+    for i, (ks, own) in enumerate(zip(t.column("ks").to_pylist(), t.column("bands").to_pylist(), strict=True)):
+        bands[i, ks] = own
+    sets = [np.asarray(x, dtype=np.int64) for x in t.column("s").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    _, label = np.unique(comp, return_inverse=True)
+    a, b = [], []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        maybe = label != label[i]
+        if two:
+            maybe &= part != part[i]
+        js = np.flatnonzero(maybe)
+        js = js[(bands[js] == bands[i]).any(axis=1)]
+        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= limit]
+        if not len(js):
+            continue
+        both = _overlaps(sets[i], values, owners, len(ids))[js]
+        for j in js[both * den >= (size[js] + size[i] - both) * num].tolist():
+            if label[j] != label[i]:
+                a.append(ids[i])
+                b.append(ids[j])
+                label[label == label[i]] = label[j]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _cross_links(buckets: DataFrame, sets: DataFrame, limit: int, threshold: Fraction) -> DataFrame:
+    """Links that the comparisons with each bucket's smallest member have not shown: (a, b).
+
+    Buckets in which several components meet are joined, by shared members, to larger groups, so that a pair is looked at
+    once and not in every band; a group's documents, with their sets, are dealt to blocks, and each pair of blocks is one
+    task's work. No pair is written unless it is a link between what was apart."""
+    mixed = buckets.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("a").alias("m")).where("lo < hi").select("band", "m")
+    rows = materialise(buckets.join(mixed, "band").select("a", "m").distinct(), "mixed")
+    groups = components(rows.select(F.col("a").alias("node")).distinct(), rows.select("a", F.col("m").alias("b")))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    dealt = groups.join(sizes, "component").select(F.col("node").alias("a"), F.col("component").alias("group"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    own = buckets.groupBy("a").agg(F.min("component").alias("component"), F.min_by("sketch", "band").alias("sketch"), F.collect_list("k").alias("ks"), F.collect_list("band").alias("bands"))
+    full = dealt.join(own, "a").join(sets.select(F.col("doc_id").alias("a"), "s"), "a")
+    # block i meets every block j: its rows go to the tasks (min(i, j), max(i, j))
+    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other", "parts")
+    num, den = threshold.numerator, threshold.denominator
+    return pairs.groupBy("group", "p", "q").applyInArrow(lambda t: _links_between(t, limit, num, den), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -223,19 +261,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("a"))
     heads = named.join(classes, "set_hash")
     members = heads.select("doc_id", "a").distinct()
-    first = heads.where("doc_id = a").dropDuplicates(["set_hash"]).select("a", F.explode("bands").alias("band"), "sketch")
+    first = heads.where("doc_id = a").dropDuplicates(["set_hash"]).select("a", F.posexplode("bands").alias("k", "band"), "sketch")
     buckets = materialise(first, "bands")
     stars = buckets.groupBy("band").agg(F.min_by("sketch", "a").alias("ms"), F.min("a").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m", "ms")
-    near = buckets.join(stars, "band").where("a != m").where(_xor_bits("sketch", "ms") <= limit)
-    pairs = materialise(near.select(F.col("m").alias("a"), F.col("a").alias("b")).distinct(), "pairs")
-    links = materialise(_confirm(pairs, _sets_of(docs, pairs), exact), "links")
+    shared = materialise(buckets.join(stars, "band"), "shared")
+    near = shared.where("a != m").where(_xor_bits("sketch", "ms") <= limit)
+    pairs = near.select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    sets = materialise(_sets_of(docs, shared.select(F.col("a").alias("_id")).distinct()), "sets")
+    links = materialise(_confirm(pairs, sets, exact), "links")
     same = members.where("doc_id != a").select(F.col("doc_id").alias("b"), "a")
-    nodes = buckets.select(F.col("a").alias("node")).distinct()
-    found = materialise(components(nodes, links), "components")
-    labelled = buckets.join(found.withColumnRenamed("node", "a"), "a")
-    more = materialise(_cross_pairs(labelled, limit), "pairs")
-    if more.limit(1).count():
-        links = materialise(links.unionByName(_confirm(more.join(pairs, ["a", "b"], "left_anti"), _sets_of(docs, more), exact)), "links")
+    found = materialise(components(shared.select(F.col("a").alias("node")).distinct(), links), "components")
+    labelled = materialise(shared.join(found.withColumnRenamed("node", "a"), "a").select("a", "k", "band", "sketch", "component"), "labelled")
+    links = materialise(links.unionByName(_cross_links(labelled, sets, limit, exact)), "links")
     every = components(members.select(F.col("doc_id").alias("node")).distinct(), links.union(same.select("a", "b")))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     per = materialise(every.join(counts, "node", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
@@ -243,10 +280,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    return materialise(shingle_sets(wanted), "sets")
+    return shingle_sets(wanted)
 
 
 def near_duplicate_filter(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
