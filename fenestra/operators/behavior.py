@@ -49,7 +49,7 @@ def _by_replay(rows: DataFrame, n: int, cap: int) -> DataFrame:
             if len(rings[key]) == n:
                 out.append((list(rings[key]), at))
         head = pdf[KEYS].iloc[0]
-        return pd.DataFrame({"source": head["source"], "window_id": head["window_id"], "ids": [x for x, _ in out], "ordinal": [x for _, x in out]})
+        return pd.DataFrame({"source": head["source"], "window_id": head["window_id"], "ids": pd.Series([x for x, _ in out], dtype=object), "ordinal": pd.Series([x for _, x in out], dtype="int64")})
 
     return rows.groupBy(*KEYS).applyInPandas(replay, "source string, window_id long, ids array<string>, ordinal long")
 
