@@ -24,10 +24,11 @@ from .common import materialise, small_batches, worker_state
 
 #: Labelled rows in the sample at most, about: larger label tables are thinned by a hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Stems that become voters at most (the most telling), and what one needs: toxic texts with it, occurrences in them (at
-#: most 3 count in a text), and the share of toxic ones among its texts.
-STEMS, LEAST_TOXIC, LEAST_HITS, LEAST_SHARE = 192, 3, 6, 0.9
-STEM_LENGTHS = (4, 5, 6, 8)
+#: Stems that become voters at most (the most telling), and the share of toxic ones that its texts need.
+STEMS, LEAST_SHARE = 192, 0.9
+#: A stem of this many toxic texts is taken; one of fewer needs repeats in them and no clean text.
+MANY_TOXIC, FEW_TOXIC, REPEATS = 10, 4, 1.5
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Seed lexicon of insults. Fixed values.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 _YOU = re.compile(r"\b(?:you|your|du|dich|tu|toi|vous|usted)\b", re.I)
@@ -156,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     share = min(1.0, sample_rows / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # bounded by sample_rows (in expectation; ids and marks only)
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
     sample = materialise(sample, "sample")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *counts], names=["stem", "clean", "toxic", "hits"])
 
     mined = sample.select("text", "toxic").mapInArrow(mine, "stem string, clean long, toxic long, hits long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("hits").alias("hits"))
-    telling = mined.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("hits") >= LEAST_HITS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
+    many = (F.col("toxic") >= MANY_TOXIC) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean")))
+    telling = mined.where(many | (F.col("toxic") >= FEW_TOXIC) & (F.col("clean") == 0) & (F.col("hits") >= REPEATS * F.col("toxic")))
     top = [r["stem"] for r in telling.orderBy(F.col("toxic").desc(), "stem").limit(STEMS).collect()]
     stems = {s: i for i, s in enumerate(dict.fromkeys([s + "$" for s in SEEDS] + top))}
 

@@ -54,7 +54,7 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
 
 
 def _test(key: Column, level: int, words: list[int], hashes: int) -> Column:
-    table = F.array(*[F.lit(w) for w in words]) if len(words) < 64 else F.expr("array(" + ",".join(f"{w}L" if w > -(1 << 63) else "(-9223372036854775807L - 1L)" for w in words) + ")")
+    table = F.array(*[F.lit(w).cast("long") for w in words]) if len(words) < 64 else F.expr("array(" + ",".join(f"{w}L" if w > -(1 << 63) else "(-9223372036854775807L - 1L)" for w in words) + ")")
     at = _positions(key, level, len(words) * 63, hashes)
     return reduce(lambda x, y: x & y, [F.getbit(F.get(table, (p / 63).cast("int")), (p % 63).cast("int")) == 1 for p in at])
 
