@@ -13,6 +13,8 @@ from ..operators import behavior, churn, cube, histograms, reservoir as salient,
 from ..operators.order import with_ordinal
 from ..sources.shared import materialise
 
+#: Blocks beyond the retained templates, each computed only if asked for.
+BLOCKS = frozenset({"behavior", "cube", "histograms", "topology", "stability"})
 ROW = ["template_id", "count", "frequency", "level", "level_declared", "component", "role", "surprise", "novelty", "salience", "retention_axis", "within_window_ordinal", "churn"]
 
 
@@ -44,57 +46,72 @@ class Documents:
         return replace(self, **{k: move(f) for k, f in frames.items()})
 
 
-def fingerprint(events: DataFrame, config: Config = Config(), reported: DataFrame | None = None) -> Documents:
-    """One document per window of ``events``. ``reported`` (window, start, end) overrides the events' own envelope."""
+def fingerprint(events: DataFrame, config: Config = Config(), reported: DataFrame | None = None, blocks: frozenset[str] | set[str] = BLOCKS) -> Documents:
+    """One document per window of ``events``, with the ``blocks`` asked for. ``reported`` (window, start, end) overrides the
+    events' own envelope."""
     # what several blocks read is written once: plans stay small, and nothing is counted twice
     rows = materialise(with_ordinal(events), "events")
     ranks = materialise(stats.with_rank(stats.template_stats(rows)), "templates")
-    table, refused = behavior.ngrams(rows, config)
-    table = materialise(table, "ngrams")
-    edges = behavior.graph(table)
-    surprises = behavior.surprise(edges)
-    held = materialise(salient.reservoir(salient.candidates(ranks, surprises, config.top_k_size), config), "reservoir")
+    table = refused = edges = held = None
+    if "behavior" in blocks or config.reservoir_size:
+        table, refused = behavior.ngrams(rows, config)
+        table = materialise(table, "ngrams")
+        edges = behavior.graph(table)
+    if config.reservoir_size:
+        held = materialise(salient.reservoir(salient.candidates(ranks, behavior.surprise(edges), config.top_k_size), config), "reservoir")
     top = stats.top_k(ranks, config.top_k_size)
     blank = lambda t: F.lit(None).cast(t)
     ordinal = F.col("first_seen") if config.source_ref else blank("bigint")
     kept_top = top.select(*KEYS, F.lit("top").alias("block"), F.col("rank").alias("place"), "template_id", "count", "frequency", "level", "level_declared", "component", "role", blank("int").alias("surprise"), blank("int").alias("novelty"), blank("int").alias("salience"), blank("string").alias("retention_axis"), blank("bigint").alias("within_window_ordinal"), churn.retained().alias("churn"))
-    kept_res = held.select(*KEYS, F.lit("reservoir").alias("block"), F.col("slot").alias("place"), "template_id", "count", "frequency", "level", "level_declared", "component", "role", "surprise", "novelty", "salience", "retention_axis", ordinal.alias("within_window_ordinal"), churn.retained().alias("churn"))
+    kept = kept_top if held is None else kept_top.unionByName(held.select(*KEYS, F.lit("reservoir").alias("block"), F.col("slot").alias("place"), "template_id", "count", "frequency", "level", "level_declared", "component", "role", "surprise", "novelty", "salience", "retention_axis", ordinal.alias("within_window_ordinal"), churn.retained().alias("churn")))
     bounds = rows.groupBy(*KEYS).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     if reported is not None:
         bounds = bounds.drop("start", "end").join(reported, KEYS, "left")
     declared = {
-        "top_k_size": (config.top_k_size, "int"), "reservoir_size": (config.reservoir_size or None, "int"), "ngram_size": (config.effective_ngram_size if config.top_ngrams_size else None, "int"),
-        "top_ngrams_size": (config.top_ngrams_size, "int"), "param_histograms_size": (config.max_param_histograms or None, "int"), "value_counts_size": (config.max_histogram_values if config.max_param_histograms else None, "int"),
+        "top_k_size": (config.top_k_size, "int"), "reservoir_size": (config.reservoir_size or None, "int"), "ngram_size": (config.effective_ngram_size if config.top_ngrams_size and "behavior" in blocks else None, "int"),
+        "top_ngrams_size": (config.top_ngrams_size, "int"), "param_histograms_size": ((config.max_param_histograms or None) if "histograms" in blocks else None, "int"), "value_counts_size": (config.max_histogram_values if config.max_param_histograms and "histograms" in blocks else None, "int"),
         "canonicalization_version": (config.canonicalization_version, "string"), "retention_profile": (config.retention_profile, "string"), "ruleset": (config.ruleset, "string"), "transport": (config.transport, "string"),
         "max_text_bytes": (config.max_text_bytes, "int"), "producer_version": (config.producer_version, "string"), "source_ref": (config.source_ref, "string"), "span_windows": (1, "int"), "run_outcome": (None, "string"),
     }
-    joint = materialise(cube.base(rows), "joint")
-    states = materialise(cube.collapse_states(joint), "states")
-    joint = materialise(cube.coarsen(joint.join(states, KEYS), F.col("band_floor"), F.col("floor_depth")), "joint")
-    counts = edges.groupBy(*KEYS).agg(F.count("*").alias("graph_edge_count"))
-    header = bounds.join(stats.window_totals(ranks), KEYS).join(stats.tail(ranks, config.top_k_size, held), KEYS, "left").join(refused, KEYS, "left").join(counts, KEYS, "left")
-    header = header.drop("admitted_keys").withColumns({k: F.lit(v).cast(t) for k, (v, t) in declared.items()})
+    header = bounds.join(stats.window_totals(ranks), KEYS).join(stats.tail(ranks, config.top_k_size, held), KEYS, "left")
+    if "behavior" in blocks:
+        counts = edges.groupBy(*KEYS).agg(F.count("*").alias("graph_edge_count"))
+        header = header.join(refused.drop("admitted_keys"), KEYS, "left").join(counts, KEYS, "left")
+    else:
+        header = header.withColumns({"dropped_ngram_observations": blank("bigint"), "graph_edge_count": blank("bigint")})
+    header = header.withColumns({k: F.lit(v).cast(t) for k, (v, t) in declared.items()})
     leaf = F.array(F.struct(F.col("source_ref").alias("ref"), ticks(F.col("start")).alias("start_ticks"), ticks(F.col("end")).alias("end_ticks")))
     header = header.withColumns({"coordinate": F.when(F.col("source_ref").isNotNull(), leaf), "provenance": F.array().cast("array<struct<start:timestamp,end:timestamp,source:string>>")})
     header = materialise(header, "header")
     slots = values = bins = None
-    if config.max_param_histograms:
+    if config.max_param_histograms and "histograms" in blocks:
         keep = top.select(*KEYS, "template_id")
         values = histograms.field_values(rows, config.max_param_histograms, config.max_histogram_values).join(keep, [*KEYS, "template_id"], "left_semi")
         slots = histograms.field_histograms(rows, config.max_param_histograms, config.max_histogram_values).join(keep, [*KEYS, "template_id"], "left_semi")
         bins = histograms.ordinal_bins(rows).drop("component").groupBy(*KEYS, "template_id", "field_name", "schedule", "bin").agg(F.sum("n").alias("n")).join(top.select(*KEYS, "template_id", "component"), [*KEYS, "template_id"])
-    spans = rows.where("is_span")
-    live = topology.active_spans(spans, config.max_active_spans)
-    resolved = topology.resolve(spans.where("parent_span_id is not null").select(*KEYS, "seq", "parent_span_id", "template_id", "component"), live)
-    links = topology.resolve(topology.link_edges(spans), live)
-    service, _ = topology.service_edges(resolved, links, config.max_service_edges)
-    span_edges, _ = topology.span_edges(resolved, config.span_edges_size, config.max_span_edge_keys)
-    orphans = topology.orphans(resolved.unionByName(links)).select(*KEYS, "orphan_parent_edges")
-    return Documents(
-        header=header, rows=kept_top.unionByName(kept_res), ngrams=behavior.top_ngrams(table, config.top_ngrams_size), branching=behavior.branching(edges, config.top_branching_size),
-        path=behavior.dominant_path(edges, ranks, config.dominant_path_max_steps) if config.dominant_path_max_steps else None, slots=slots, values=values, ordinals=bins,
-        joint=joint, states=states, stability=stats.stability(ranks) if config.emit_stability else None,
-        acquisition=cube.acquisition(rows, cube.closed(joint)).join(orphans, KEYS, "left"), service=service, span_edges=span_edges, registry=rows.select("template_id", "template_str").distinct())
+    docs = Documents(header=header, rows=kept, slots=slots, values=values, ordinals=bins, registry=rows.select("template_id", "template_str").distinct())
+    if "behavior" in blocks:
+        path = behavior.dominant_path(edges, ranks, config.dominant_path_max_steps) if config.dominant_path_max_steps else None
+        docs = replace(docs, ngrams=behavior.top_ngrams(table, config.top_ngrams_size), branching=behavior.branching(edges, config.top_branching_size), path=path)
+    if "stability" in blocks and config.emit_stability:
+        docs = replace(docs, stability=stats.stability(ranks))
+    if "cube" in blocks:
+        joint = materialise(cube.base(rows), "joint")
+        states = materialise(cube.collapse_states(joint), "states")
+        joint = materialise(cube.coarsen(joint.join(states, KEYS), F.col("band_floor"), F.col("floor_depth")), "joint")
+        docs = replace(docs, joint=joint, states=states, acquisition=cube.acquisition(rows, cube.closed(joint)))
+    if "topology" in blocks:
+        spans = rows.where("is_span")
+        live = topology.active_spans(spans, config.max_active_spans)
+        resolved = topology.resolve(spans.where("parent_span_id is not null").select(*KEYS, "seq", "parent_span_id", "template_id", "component"), live)
+        links = topology.resolve(topology.link_edges(spans), live)
+        service, _ = topology.service_edges(resolved, links, config.max_service_edges)
+        span_edges, _ = topology.span_edges(resolved, config.span_edges_size, config.max_span_edge_keys)
+        docs = replace(docs, service=service, span_edges=span_edges)
+        if docs.acquisition is not None:
+            orphans = topology.orphans(resolved.unionByName(links)).select(*KEYS, "orphan_parent_edges")
+            docs = replace(docs, acquisition=docs.acquisition.join(orphans, KEYS, "left"))
+    return docs
 
 
 def _list(frame: DataFrame | None, order: list[Column], entry: Column, name: str) -> DataFrame | None:

@@ -48,7 +48,7 @@ def grams(n: int, ring: str = "0", **kw) -> str:
     return (
         ev(**kw)
         + f""",
-l AS (SELECT win, seq, tid, {names} FROM ev),
+l AS (SELECT win, seq, usr, tid, {names} FROM ev),
 g0 AS (SELECT win, seq, {key} AS sequence, {prefix} AS prefix, p0 AS a, {"tid" if n == 2 else "p1"} AS b FROM l WHERE p0 IS NOT NULL),
 k0 AS (SELECT win, sequence, any_value(prefix) AS prefix, any_value(a) AS a, any_value(b) AS b, count(*) AS n, min(seq) AS first FROM g0 GROUP BY win, sequence),
 k1 AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY first) AS seen FROM k0)"""
@@ -64,9 +64,10 @@ SELECT win AS window_id, rk AS rank, sequence, n AS count, {r6("p")} AS probabil
     )
 
 
-def edges(n: int = 2, cap: int = 4096, window: str = "w10", template: str = "coarse") -> str:
+def edges(n: int = 2, cap: int = 4096, ring: str = "0", **kw) -> str:
+    kw = {"window": "w10"} | kw
     return (
-        grams(n, window=window, template=template)
+        grams(n, ring, **kw)
         + f""",
 e0 AS (SELECT win, a, b, CAST(sum(n) AS BIGINT) AS n FROM k1 WHERE seen <= {cap} GROUP BY win, a, b),
 e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY win, a) AS BIGINT) AS outgoing FROM e0)"""
@@ -98,10 +99,11 @@ x AS (SELECT win, {_kl()}, count(*) FILTER (a IS NULL) AS fresh, count(*) FILTER
     )
 
 
-def reservoir() -> str:
+def reservoir(ring: str = "0", **kw) -> str:
     """CTE held: the reservoir with slot, salience and axis, over counts, edges and labels of ten-day windows."""
-    e = edges().split("WITH ", 1)[1]
-    rest = counts(window="w10").split("),\npos AS", 1)[1]
+    kw = {"window": "w10"} | kw
+    e = edges(ring=ring, **kw).split("WITH ", 1)[1]
+    rest = counts(**kw).split("),\npos AS", 1)[1]
     return (
         "WITH "
         + e
@@ -200,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
     out["window_spine"] = ev() + " SELECT unnest(range(min(win), max(win) + 1)) AS window_id FROM ev"
     out["ngram_bigrams"] = top_grams(2)
     out["ngram_trigrams"] = top_grams(3, 1 << 30, window="w10")
-    out["ngram_trace_scoped"] = top_grams(2, 1 << 30, "usr", window="w10", template="type").replace("SELECT win, seq, tid, lag", "SELECT win, seq, usr, tid, lag")
+    out["ngram_trace_scoped"] = top_grams(2, 1 << 30, "usr", window="w10", template="type")
     out["ngram_key_cap_dropped"] = grams(2, window="w10", template="fine") + " SELECT win AS window_id, count(*) FILTER (seen <= 200) AS admitted_keys, CAST(coalesce(sum(n) FILTER (seen > 200), 0) AS BIGINT) AS dropped_ngram_observations FROM k1 GROUP BY win"
     out["graph_edges"] = edges() + " SELECT win AS window_id, a AS from_id, b AS to_id, n AS count, outgoing FROM e"
     branch = f", bb AS (SELECT win, a, count(*) AS fanout, max(outgoing) AS total, {H('n', 'outgoing')} AS h FROM e GROUP BY win, a), br AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY round(h, 12) DESC, total DESC, a) AS rk FROM bb) SELECT win AS window_id, a AS template_id, fanout, total, {r6('h')} AS entropy_bits FROM br WHERE rk <= 64"
@@ -254,6 +256,13 @@ SELECT CAST(lines AS BIGINT) AS lines, CAST(v + residual AS BIGINT) AS tail_coun
 here AS (SELECT tt.tid, days.win, EXISTS (SELECT 1 FROM ev WHERE ev.win = days.win AND ev.tid = tt.tid) AS p FROM tt, days),
 l AS (SELECT *, lag(p) OVER (PARTITION BY tid ORDER BY win) AS q FROM here)
 SELECT tid AS template_id, count(*) AS span, count(*) FILTER (q IS NOT NULL AND p <> q) AS transitions, arg_min(p, win) AS present_first, arg_max(p, win) AS present_last FROM l GROUP BY tid"""
+    out["reservoir_delta"] = reservoir("usr", window="w15", component="svc") + """, kept AS (SELECT win, tid, n, false AS salient FROM cnt WHERE rk <= 16 UNION ALL SELECT win, tid, n, true FROM held),
+p AS (SELECT * FROM kept WHERE win = 0), c AS (SELECT * FROM kept WHERE win = 1)
+SELECT 'new_salient' AS kind, tid AS template_id, CAST(NULL AS BIGINT) AS previous_count, n AS current_count FROM c WHERE salient AND tid NOT IN (SELECT tid FROM p)
+UNION ALL SELECT 'vanished_salient', tid, n, NULL FROM p WHERE salient AND tid NOT IN (SELECT tid FROM c)"""
+    out["cap_text"] = f"""WITH t AS (SELECT DISTINCT text FROM conversations), k AS (SELECT text, list_max(list_filter(range(0, 48), lambda x: strlen(left(text, x)) <= 47)) AS k FROM t),
+c AS (SELECT text, CASE WHEN strlen(text) < 64 THEN text ELSE left(text, k) || repeat('~', 48 - strlen(left(text, k))) || substr(sha256(text), 1, 16) END AS capped FROM k)
+SELECT {TID.format('text')} AS text_id, capped, strlen(capped) = 64 AS digest FROM c WHERE text IS NOT NULL"""
     out["conversation_bigrams"] = f"WITH l AS (SELECT lag({TID.format('role')}) OVER (PARTITION BY conv_id ORDER BY turn) AS a, {TID.format('role')} AS b FROM conversations), c AS (SELECT a, b, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY ALL) SELECT a || '>' || b AS sequence, n AS count, {r6('n / sum(n) OVER (PARTITION BY a)')} AS probability FROM c"
     out["admission_budget"] = ev(template="fine") + ", known AS (SELECT DISTINCT tid FROM ev WHERE win = 0), fresh AS (SELECT tid FROM (SELECT tid, row_number() OVER (ORDER BY min(seq)) AS r FROM ev WHERE win > 0 AND tid NOT IN (SELECT tid FROM known) GROUP BY tid) WHERE r <= 20) SELECT win AS window_id, count(*) AS events, count(DISTINCT tid) AS templates FROM ev WHERE win > 0 AND (tid IN (SELECT tid FROM known) OR tid IN (SELECT tid FROM fresh)) GROUP BY win"
     out["document_sources"] = """WITH e AS (SELECT source, lang, CASE WHEN toxic = 1 THEN 4 WHEN quality = 0 THEN 3 ELSE 2 END AS level FROM documents LEFT JOIN labels USING (doc_id)),

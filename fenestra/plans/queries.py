@@ -10,7 +10,7 @@ from ..functions.stats import novelty_band
 from ..operators import behavior, churn, cube, histograms, reservoir, stats, topology
 from ..sources import events as src
 from . import compose, diff
-from .documents import fingerprint, to_json
+from .documents import BLOCKS, fingerprint, to_json
 
 RETENTION = Config(top_k_size=16, reservoir_size=16, reservoir_error_reserve=4, reservoir_per_kind_cap=4)
 
@@ -258,18 +258,18 @@ def active_spans_capped(spark, d):
 
 
 def template_deltas(spark, d):
-    docs = _documents(spark, d)
+    docs = _documents(spark, d, Config(top_k_size=16), set())
     return diff.template_deltas(*docs).select("template_id", "state", "previous_count", "current_count", "delta", F.col("rank").cast("long"))
 
 
-def _documents(spark, d, config: Config = RETENTION, **kw):
+def _documents(spark, d, config: Config = RETENTION, blocks: frozenset[str] | set[str] = BLOCKS, **kw):
     """The fingerprints of the first and of the second half of the month, keyed as one pair."""
-    docs = fingerprint(src.driver_events(spark, d, window="w15", component="svc", slow_half=True, **kw), config)
+    docs = fingerprint(src.driver_events(spark, d, window="w15", component="svc", slow_half=True, **kw), config, blocks=blocks)
     return docs.at("CASE WHEN window_id = 0 THEN 0 END"), docs.at("CASE WHEN window_id = 1 THEN 0 END")
 
 
 def diff_divergence(spark, d):
-    x = diff.divergence(*_documents(spark, d))
+    x = diff.divergence(*_documents(spark, d, Config(top_k_size=16), set()))
     return x.select(r6("kl_divergence").alias("kl_divergence"), r6("js_divergence").alias("js_divergence"), r6("stability_score").alias("stability_score"))
 
 
@@ -279,7 +279,7 @@ def diff_outcome(spark, d):
 
 
 def diff_ngrams(spark, d):
-    x = diff.ngram_delta(*_documents(spark, d, Config(trace_scoping_enabled=False)))
+    x = diff.ngram_delta(*_documents(spark, d, Config(trace_scoping_enabled=False), {"behavior"}))
     return x.select("state", F.array_join("ids", ">").alias("sequence"), r6("previous_probability").alias("previous_probability"), r6("current_probability").alias("current_probability"))
 
 
@@ -292,38 +292,38 @@ def document_json(spark, d):
 
 
 def cube_latency_border(spark, d):
-    c = diff.cube_diff(*_documents(spark, d, Config(max_param_histograms=2)))
+    c = diff.cube_diff(*_documents(spark, d, Config(max_param_histograms=2), {"cube", "histograms"}))
     return c.select("direction", "side", F.col("level").cast("long").alias("level"), "component", F.col("role").cast("long").alias("role"), "latency_shift", "count")
 
 
 def reservoir_delta(spark, d):
-    x = diff.reservoir_delta(*_documents(spark, d))
+    x = diff.reservoir_delta(*_documents(spark, d, RETENTION, set()))
     return x.select("kind", "template_id", "previous_count", "current_count")
 
 
 def compose_pair_top_k(spark, d):
-    c = compose.compose(*_documents(spark, d, Config(top_k_size=16)))
+    c = compose.compose(*_documents(spark, d, Config(top_k_size=16), set()))
     return c.rows.where("block = 'top'").select(F.col("place").cast("long").alias("rank"), "template_id", "count", r6("frequency").alias("frequency"))
 
 
 def compose_tail(spark, d):
-    c = compose.compose(*_documents(spark, d, Config(top_k_size=16)))
+    c = compose.compose(*_documents(spark, d, Config(top_k_size=16), set()))
     return c.header.select("lines", "tail_count", "tail_unique", r6("entropy_bits").alias("entropy_bits"), r6("tail_entropy_bits").alias("tail_entropy_bits"))
 
 
 def compose_ngrams(spark, d):
-    c = compose.compose(*_documents(spark, d, Config(trace_scoping_enabled=False)))
+    c = compose.compose(*_documents(spark, d, Config(trace_scoping_enabled=False), {"behavior"}))
     return c.ngrams.select(F.col("rank").cast("long"), F.array_join("ids", ">").alias("sequence"), "count", r6("probability").alias("probability"))
 
 
 def compose_cube(spark, d):
-    c = compose.compose(*_documents(spark, d))
+    c = compose.compose(*_documents(spark, d, RETENTION, {"cube"}))
     return cube.closed(c.joint).select(F.col("level").cast("long").alias("level"), "component", F.col("role").cast("long").alias("role"), "count")
 
 
 def compose_fold_month(spark, d):
     """Three ten-day documents folded in order, with their churn."""
-    docs = fingerprint(src.driver_events(spark, d, window="w10"), RETENTION)
+    docs = fingerprint(src.driver_events(spark, d, window="w10"), RETENTION, blocks=set())
     c = compose.fold(docs, [0, 1, 2])
     return c.rows.select("block", F.col("place").cast("long").alias("place"), "template_id", "count", "churn.*")
 
