@@ -18,6 +18,8 @@ from .common import materialise
 BITS, DIMS = 4, 3
 #: Rows in a slice of a cell, about, if a cell held the whole table.
 SLICE_ROWS = 20_000
+#: A group of equal texts up to 1 / GROUP_SHARE of a shard's share is never cut.
+GROUP_SHARE = 20
 
 
 def hilbert_index(point: tuple[int, ...], bits: int = BITS) -> int:
@@ -65,33 +67,45 @@ def shard_by_curve(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and hilbert of each row.
 
     size: the text's UTF-8 bytes plus 1, 1 for null and empty texts (whose checksum is that of no bytes). Null languages
-    and sources count as empty strings. Shards differ from an equal share by less than the largest size. Ties on the
-    curve go by a hash of doc_id, then the text's checksum, then doc_id; repeated rows each get a slot. An empty table
-    gives no rows. Shards may be empty where rows are fewer than shards or one text is larger than a share.
+    and sources count as empty strings. Equal texts are a group, at the place of its smallest metadata: it stays in one
+    shard unless it holds more than 1 / ``GROUP_SHARE`` of a share, in which case its rows are cut one by one. Shards differ
+    from an equal share by less than that, or the largest text. Ties on the curve go by a hash of the text; within a group
+    by a hash of doc_id, then doc_id; repeated rows each get a slot. An empty table gives no rows. Shards may be empty
+    where rows are fewer than shards or one text is larger than a share.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.octet_length(text).cast("long") + 1
-    length = F.least(F.floor(F.log2(size)), F.lit((1 << BITS) - 1)).cast("int")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), hilbert_cell(_quantised(F.col("lang")), _quantised(F.col("source")), length).alias("hilbert"))
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), _quantised(F.col("lang")).alias("_lang"), _quantised(F.col("source")).alias("_source"))
     rows = materialise(rows, "sizes")
     slices = F.lit(max(1, rows.count() // SLICE_ROWS))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), slices).cast("int"))
+    length = F.least(F.floor(F.log2("size")), F.lit((1 << BITS) - 1)).cast("int")
+    group = ["h", "size", "text_crc32"]
+    groups = rows.groupBy(*group).agg(F.min(F.struct("_lang", "_source")).alias("m"), F.count("*").alias("n"))
+    groups = groups.select(*group, "n", (F.col("n") * F.col("size")).alias("b"), hilbert_cell(F.col("m._lang"), F.col("m._source"), length).alias("hilbert"), F.pmod(F.col("h"), slices).cast("int").alias("slice"))
     none = F.lit(0).cast("long")
-    total = lambda c, w: F.coalesce(F.sum(c).over(w), none)
-    per = rows.groupBy("hilbert", "slice").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    in_cell = W.partitionBy("hilbert").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    cells = per.groupBy("hilbert").agg(F.sum("b").alias("cb"), F.sum("n").alias("cn"))
-    on_curve = W.orderBy("hilbert").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), none)
+    per = groups.groupBy("hilbert", "slice").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
+    cells = per.groupBy("hilbert").agg(F.sum("sb").alias("cb"), F.sum("sn").alias("cn"))
+    on_curve, in_cell = W.orderBy("hilbert"), W.partitionBy("hilbert").orderBy("slice")
     cells = cells.select("hilbert", total("cb", on_curve).alias("cb0"), total("cn", on_curve).alias("cn0"), F.sum("cb").over(W.partitionBy()).alias("all"))
-    starts = per.select("hilbert", "slice", total("b", in_cell).alias("sb0"), total("n", in_cell).alias("sn0")).join(cells, "hilbert")
-    in_slice = W.partitionBy("hilbert", "slice").orderBy(F.xxhash64("doc_id"), "text_crc32", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.select("*", total("size", in_slice).alias("b0"), F.count("*").over(in_slice).alias("n0")).join(starts, ["hilbert", "slice"])
-    at, rank = F.col("cb0") + F.col("sb0") + F.col("b0"), F.col("cn0") + F.col("sn0") + F.col("n0")
-    # the middle of a text decides, so a cut falls within half a text of its share's end
-    shard = F.least(F.floor((at + F.col("size") / 2) * shards / F.col("all")), F.lit(shards - 1)).cast("int")
-    ranked = materialise(placed.select("doc_id", "size", "text_crc32", "hilbert", shard.alias("shard"), rank.alias("rank")), "ranked")
+    starts = per.select("hilbert", "slice", total("sb", in_cell).alias("sb0"), total("sn", in_cell).alias("sn0")).join(cells, "hilbert")
+    in_slice = W.partitionBy("hilbert", "slice").orderBy(*group)
+    placed = groups.select("*", total("b", in_slice).alias("b0"), total("n", in_slice).alias("n0")).join(starts, ["hilbert", "slice"])
+    placed = placed.select(*group, "hilbert", "n", "b", "all", (F.col("cb0") + F.col("sb0") + F.col("b0")).alias("at"), (F.col("cn0") + F.col("sn0") + F.col("n0")).alias("first"))
+    # the place within a group, in two levels too: a group may hold a third of all rows
+    members = rows.select("doc_id", *group).join(placed, group)
+    members = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {SLICE_ROWS}"))).cast("int"))
+    parts = members.groupBy(*group, "part").agg(F.count("*").alias("pn")).select(*group, "part", total("pn", W.partitionBy(*group).orderBy("part")).alias("p0"))
+    inside = F.row_number().over(W.partitionBy(*group, "part").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    members = members.withColumn("i", inside).join(parts, [*group, "part"]).withColumn("i", F.col("i") + F.col("p0"))
+    # the middle of what is cut decides its shard: of the group, or of the text in a group too large for that
+    whole = F.col("b") * shards * GROUP_SHARE <= F.col("all")
+    middle = F.col("at") + F.when(whole, F.col("b") / 2).otherwise(F.col("i") * F.col("size") + F.col("size") / 2)
+    shard = F.least(F.floor(middle * shards / F.col("all")), F.lit(shards - 1)).cast("int")
+    ranked = materialise(members.select("doc_id", "size", "text_crc32", "hilbert", shard.alias("shard"), (F.col("first") + F.col("i")).alias("rank")), "ranked")
     firsts = ranked.groupBy("shard").agg(F.min("rank").alias("first"))
-    return ranked.join(firsts, "shard").select(
+    # one row a shard
+    return ranked.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 

@@ -25,7 +25,7 @@ def check_shards(rows, texts):
         by.setdefault(r["shard"], []).append(r)
     for s, members in by.items():
         assert 0 <= s < 16 and sorted(r["slot"] for r in members) == list(range(len(members)))
-        assert abs(sum(r["size"] for r in members) - total / 16) <= max(size.values())
+        assert abs(sum(r["size"] for r in members) - total / 16) <= max(*size.values(), total / 16 / sharding.GROUP_SHARE)
     return by
 
 
@@ -35,6 +35,10 @@ def test_op4(spark):
     check_shards(rows, docs)
     texts = dict(docs)
     assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for t, s in where.items() if len((t or "").encode()) < 1000)
     order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in rows)
 
