@@ -17,8 +17,8 @@ T = TypeVar("T")
 _STATE: dict[str, object] = {}
 
 
-def worker_state(key: str, make: Callable[[], T], most: int = 3) -> T:
-    """What a Python worker keeps from task to task, such as a cache of words; the ``most`` last made are kept."""
+def worker_state(key: str, make: Callable[[], T], most: int = 1) -> T:
+    """What a Python worker keeps from task to task, such as a cache of words; only the ``most`` last made are kept."""
     if key not in _STATE:
         while len(_STATE) >= most:
             del _STATE[next(iter(_STATE))]

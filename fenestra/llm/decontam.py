@@ -185,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 500_000):
+def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         known: dict[str, int] = worker_state(token, dict)

@@ -44,7 +44,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted 64-bit hashes of a text's different shingles; words' hashes are remembered up to a bound."""
 
-    def __init__(self, size: int = SHINGLE, keep: int = 500_000):
+    def __init__(self, size: int = SHINGLE, keep: int = 300_000):
         self.size, self.keep, self.known = size, keep, {}
 
     def _word(self, words: list[bytes]) -> np.ndarray:

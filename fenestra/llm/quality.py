@@ -72,7 +72,7 @@ def _ngram_rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), number, pa.array(text), pa.array(total)], names=["slot", "lang_no", "gram", "n"])
 
 
-def count_ngrams(docs: DataFrame, flush_words: int = 300_000) -> DataFrame:
+def count_ngrams(docs: DataFrame, flush_words: int = 100_000) -> DataFrame:
     """(slot, lang_no, gram, n) over every word of ``docs``: at most 2 ** FOLD_BITS rows."""
     small_batches(docs.sparkSession)
 
@@ -203,7 +203,7 @@ def text_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
 FIELDS = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits")
 
 
-def score(docs: DataFrame, model: KneserNey, keep_words: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000) -> DataFrame:
     """Counts of every text and its mean bits per word (null without words)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

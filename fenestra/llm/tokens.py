@@ -19,7 +19,7 @@ from .common import small_batches, worker_state
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: A character that the tokenizer gives one id, which no other text has.
 MARK = "\x01"
 
