@@ -38,11 +38,8 @@ def is_digest_form(text: Column, most: int) -> Column:
 
 def display_form(text: Column, most: int) -> Column:
     """A capped text as shown: its prefix and an ellipsis."""
-    return F.when(is_digest_form(text, most), F.concat(F.regexp_replace(F.expr(f"left({_name(text)}, length({_name(text)}) - 16)"), "~+$", ""), F.lit("…"))).otherwise(text)
-
-
-def _name(text: Column) -> str:
-    return text._jc.toString()
+    prefix = F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - 16), "~+$", "")
+    return F.when(is_digest_form(text, most), F.concat(prefix, F.lit("…"))).otherwise(text)
 
 
 def level_token(level: Column) -> Column:

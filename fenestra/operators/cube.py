@@ -114,3 +114,31 @@ def acquisition(events: DataFrame, closed_cells: DataFrame) -> DataFrame:
     """Located records and distinct values by axis, beside the number of closed cells."""
     seen = events.groupBy(*KEYS).agg(F.count("component").alias("located_records"), F.countDistinct("component").alias("components"), F.countDistinct("level").alias("levels"), F.countDistinct("role").alias("roles"), F.count_if("is_span").alias("spans"))
     return seen.join(closed_cells.groupBy(*KEYS).agg(F.count("*").alias("closed_cells")), KEYS, "left")
+
+
+def recover_base(closed_cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The joint behind a closed cube that was read back: located events are its fully pinned cells, as nothing is starred
+    in them; unlocated ones are what a cell with only its component starred has beyond them."""
+    full = closed_cells.where("pinned = 7").select(*keys, *DIMS, "count")
+    located = full.groupBy(*keys, "level", "role").agg(F.sum("count").alias("_located"))
+    starred = closed_cells.where("pinned = 5").select(*keys, "level", "role", "count").join(located, [*keys, "level", "role"], "left")
+    rest = starred.withColumn("count", F.col("count") - F.coalesce("_located", F.lit(0))).where("count > 0")
+    return full.unionByName(rest.select(*keys, "level", F.lit(None).cast("string").alias("component"), "role", "count"))
+
+
+def counts_in(closed_cells: DataFrame, wanted: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Counts of any cells of a closed cube: the largest among the closed cells that a wanted one covers; 0 if it covers
+    none."""
+    asked = wanted.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(d).alias(f"_{d}") for d in DIMS]).distinct()
+    covers = reduce(lambda a, b: a & b, [F.col(f"_{d}").isNull() | F.col(f"_{d}").eqNullSafe(F.col(d)) for d in DIMS])
+    same = reduce(lambda a, b: a & b, [F.col(f"_{k}") == F.col(k) for k in keys])
+    hit = asked.join(closed_cells, same & covers, "left").groupBy(*[f"_{k}" for k in keys], *[f"_{d}" for d in DIMS]).agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"))
+    return hit.select(*[F.col(f"_{c}").alias(c) for c in (*keys, *DIMS)], "count")
+
+
+def tree_conflicts(paths: DataFrame) -> DataFrame:
+    """Values of WHERE paths (column path, an array from the root down) that have two parents at one depth; a chain of depth
+    one has none."""
+    steps = paths.select("path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth"))
+    at = steps.select("depth", F.element_at("path", F.col("depth")).alias("value"), F.when(F.col("depth") > 1, F.element_at("path", F.col("depth") - 1)).alias("parent"))
+    return at.groupBy("depth", "value").agg(F.countDistinct(F.coalesce("parent", F.lit(""))).alias("parents")).where("parents > 1")

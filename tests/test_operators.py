@@ -166,3 +166,27 @@ def test_admission(spark):
     known = registry(events(spark, lines("a")))
     assert sorted(r["template_str"] for r in admit(e, known, budget=1).collect()) == ["a", "a", "b", "b"]
     assert sorted(r["template_str"] for r in admit(e, known, predicate=F.col("template_str") == "d").collect()) == ["a", "a", "d"]
+
+
+def test_base_recovered_from_closed_cells(spark):
+    rows = [{"template_str": "t", "level": 2 + i % 3, "component": [None, "a", "b"][i % 3 if i % 4 else 0], "role": i % 2} for i in range(40)]
+    joint = cube.base(events(spark, rows))
+    closed = cube.closed(joint)
+    cols = ["level", "component", "role", "count"]
+    key = lambda r: str(tuple(r))
+    assert sorted(joint.select(*cols).collect(), key=key) == sorted(cube.recover_base(closed).select(*cols).collect(), key=key)
+    every = cube.cells(joint)
+    assert sorted(every.select(*cols).collect(), key=key) == sorted(cube.counts_in(closed, every).select(*cols).collect(), key=key)
+
+
+def test_where_paths_are_a_tree(spark):
+    paths = spark.createDataFrame([(["a", "x"],), (["b", "y"],), (["a"],)], "path array<string>")
+    assert cube.tree_conflicts(paths).count() == 0
+    assert [r["value"] for r in cube.tree_conflicts(paths.union(spark.createDataFrame([(["b", "x"],)], "path array<string>"))).collect()] == ["x"]
+
+
+def test_display_form(spark):
+    from fenestra.functions import text as T
+
+    frame = spark.createDataFrame([("a" * 100,), ("short",)], "t string").select(T.cap_text(F.col("t"), 64).alias("c"))
+    assert [r[0] for r in frame.select(T.display_form(F.col("c"), 64)).collect()] == ["a" * 47 + "…", "short"]
