@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import materialise, shared_dir
+
 #: Rows in one Arrow batch: bounds a Python worker's memory where texts are long.
 ARROW_ROWS = 512
+__all__ = ["ARROW_ROWS", "materialise", "shared_dir", "small_batches", "table", "worker_state"]
 T = TypeVar("T")
 
 
@@ -26,23 +27,6 @@ def worker_state(key: str, make: Callable[[], T], most: int = 1) -> T:
     return _STATE[key]  # type: ignore[return-value]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="fenestra-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fenestra/{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise
 
@@ -74,13 +74,10 @@ def pack(pieces: DataFrame, context: int = 2048, group_pieces: int = GROUP_PIECE
 
 
 def pack_with_ids(pieces: DataFrame, context: int = 2048) -> DataFrame:
-    """:func:`pack` for pieces that carry ``ids``: these are written once and joined to the plan, which is made without them."""
+    """:func:`pack` for pieces that carry ``ids``: these are written once and joined to the plan, which is made without them.
+
+    The table written knows each row by its file and its place there, so repeated rows are told apart."""
     pieces = materialise(pieces, "ids")
-    plan = pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), context)
-    # rows repeated in every column get one place each, in any order
-    twin = W.partitionBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    numbered = plan.withColumn("_twin", F.row_number().over(twin.orderBy("sequence_id", "offset")))
-    ids = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumn("_twin", F.row_number().over(twin.orderBy("length"))).drop("length")
-    same = [numbered[c].eqNullSafe(ids[c]) for c in ("doc_id", "start", "ids_crc32", "doc_tokens", "_twin")]
-    on = same[0] & same[1] & same[2] & same[3] & same[4]
-    return numbered.join(ids, on).select(numbered["doc_id"], numbered["start"], "length", numbered["ids_crc32"], numbered["doc_tokens"], "sequence_id", "offset", ids["ids"])
+    keyed = pieces.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    plan = pack(keyed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "_file", "_row"), context)
+    return plan.join(keyed.select("_file", "_row", "ids"), ["_file", "_row"]).drop("_file", "_row")

@@ -27,7 +27,7 @@ from .common import materialise, small_batches, worker_state
 ORDER = 5
 FOLD_BITS = 21
 #: Interquartile ranges that the band reaches beyond the quartiles.
-LOWER, UPPER = 8.0, 8.0
+LOWER, UPPER = 8.0, 6.0
 #: The narrowest band, in bits around the median.
 LEAST_BITS = 2.0
 #: Languages up to which their bands are broadcast.

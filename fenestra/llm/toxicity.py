@@ -55,7 +55,7 @@ class Voters:
     def _hits(self, word: str) -> tuple[int, ...]:
         return tuple(self.stems[s] for s in stems_of(word) if s in self.stems)
 
-    def count(self, text: str | None, keep: int = 500_000) -> tuple[dict[int, int], int, tuple[float, float, float]]:
+    def count(self, text: str | None, keep: int = 300_000) -> tuple[dict[int, int], int, tuple[float, float, float]]:
         """Hits per stem, words, and the patterns' strengths from 0 to 1."""
         words = (text or "").split()
         try:
