@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import KEYS, Config
 from ..functions.stats import entropy_bits, surprise_band
-from .order import ranked, with_ordinal, with_previous
+from .order import ordered, ranked, with_ordinal, with_previous
 
 
 def ngram_events(events: DataFrame, config: Config = Config()) -> DataFrame:
@@ -16,7 +16,7 @@ def ngram_events(events: DataFrame, config: Config = Config()) -> DataFrame:
     Rings are exact while a window has at most ``max_active_traces`` traces; beyond that, windows are replayed one by one
     with eviction of the ring opened first."""
     n = config.effective_ngram_size
-    rows = (events if "ordinal" in events.columns else with_ordinal(events)).where(~F.col("is_span"))
+    rows = ordered(events).where(~F.col("is_span"))
     ring = F.col("trace_id") if config.trace_scoping_enabled else F.lit(None).cast("long")
     rows = rows.withColumn("_ring", ring).select(*KEYS, "_ring", "ordinal", "template_id")
     if not config.trace_scoping_enabled:

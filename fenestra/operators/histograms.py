@@ -8,7 +8,7 @@ from ..config import DURATION_SCHEDULE, KEYS, ORDINAL_BINS, SHIFT_FLOOR
 from ..functions import hll
 from ..functions.stats import direction_of, entropy_bits, octave, shift_of
 from .behavior import admitted
-from .order import with_ordinal
+from .order import ordered
 from .stats import divergences
 
 SLOT = [*KEYS, "template_id", "param_index"]
@@ -16,7 +16,7 @@ SLOT = [*KEYS, "template_id", "param_index"]
 
 def param_values(events: DataFrame, slots: int) -> DataFrame:
     """(window, template_id, param_index, value, ordinal) of the first ``slots`` parameters."""
-    rows = events if "ordinal" in events.columns else with_ordinal(events)
+    rows = ordered(events)
     return rows.select(*KEYS, "template_id", "ordinal", F.posexplode(F.slice("params", 1, slots)).alias("param_index", "value"))
 
 
@@ -45,7 +45,7 @@ def histogram_divergence(previous: DataFrame, current: DataFrame, keys: list[str
 
 def ordinal_bins(events: DataFrame) -> DataFrame:
     """(window, template_id, component, field_name, schedule, bin, n): the first schedule a field shows is the one kept."""
-    rows = events if "ordinal" in events.columns else with_ordinal(events)
+    rows = ordered(events)
     flat = rows.select(*KEYS, "template_id", "component", "ordinal", F.inline("ordinals"))
     field = [*KEYS, "template_id", "field_name"]
     first = flat.groupBy(*field).agg(F.min_by("schedule", "ordinal").alias("_s"))

@@ -27,6 +27,11 @@ def with_ordinal(events: DataFrame, name: str = "ordinal", keys: list[str] = KEY
     return placed.withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_block", "_b", "_start", "_at", *[f"_{k}" for k in keys])
 
 
+def ordered(events: DataFrame) -> DataFrame:
+    """Events with an ``ordinal`` that orders them; where only the order matters, ``seq`` is one, and nothing is sorted."""
+    return events if "ordinal" in events.columns else events.withColumn("ordinal", F.col("seq"))
+
+
 def with_previous(rows: DataFrame, value: str, back: int, keys: list[str], at: str = "_ring_at", block: int = BLOCK) -> DataFrame:
     """Adds _prev1 .. _prev``back`` of ``value`` along ``at``, a gapless position within ``keys``.
 

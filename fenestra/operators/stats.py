@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import KEYS, LEVELS, ROLES, UNKNOWN
 from ..functions.stats import entropy_bits, js_term, kl_term
-from .order import ranked, with_ordinal
+from .order import ordered, ranked, with_ordinal
 
 
-def template_stats(events: DataFrame) -> DataFrame:
+def template_stats(events: DataFrame, places: bool = True) -> DataFrame:
     """One row per window and template: count, first_seen, level, level_declared, role, component, echoed, template_str.
 
     Two aggregations, both combined map-side: first by component too, then over components. Ties: the more severe level
-    (UNKNOWN is the least), the larger role, the smaller component.
+    (UNKNOWN is the least), the larger role, the smaller component. Without ``places``, first_seen is only an order, and no
+    event needs to be numbered.
     """
-    rows = events if "ordinal" in events.columns else with_ordinal(events)
+    rows = events if "ordinal" in events.columns else with_ordinal(events) if places else ordered(events)
     levels, roles = range(len(LEVELS)), range(len(ROLES))
     per = rows.groupBy(*KEYS, "template_id", "component").agg(
         F.count("*").alias("n"), F.min("ordinal").alias("first_seen"), F.bool_and("echoed_source").alias("echoed"), F.min("template_str").alias("template_str"),

@@ -19,8 +19,8 @@ def r6(c: str | Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def _ranks(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return stats.with_rank(stats.template_stats(src.driver_events(spark, d, **kw)))
+def _ranks(spark: SparkSession, d: str, places: bool = False, **kw) -> DataFrame:
+    return stats.with_rank(stats.template_stats(src.driver_events(spark, d, **kw), places))
 
 
 def _edges(spark: SparkSession, d: str, window: str = "w10", template: str = "coarse", config: Config | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def window_top_k(spark, d):
 
 
 def window_entropy(spark, d):
-    t = stats.window_totals(stats.template_stats(src.driver_events(spark, d)))
+    t = stats.window_totals(stats.template_stats(src.driver_events(spark, d), False))
     return t.select("window_id", "lines", "unique_templates", r6("entropy_bits").alias("entropy_bits"))
 
 
@@ -48,35 +48,35 @@ def tail_summary(spark, d):
 
 
 def dominant_level(spark, d):
-    s = stats.template_stats(src.driver_events(spark, d, template="kmod"))
+    s = stats.template_stats(src.driver_events(spark, d, template="kmod"), False)
     return s.select("window_id", "template_str", F.col("level").cast("long").alias("level"), "level_declared")
 
 
 def dominant_component(spark, d):
-    s = stats.template_stats(src.driver_events(spark, d, template="kmod", component="svc"))
+    s = stats.template_stats(src.driver_events(spark, d, template="kmod", component="svc"), False)
     return s.select("window_id", "template_str", "component")
 
 
 def dominant_role(spark, d):
-    s = stats.template_stats(src.driver_events(spark, d, template="kmod"))
+    s = stats.template_stats(src.driver_events(spark, d, template="kmod"), False)
     return s.select("window_id", "template_str", F.col("role").cast("long").alias("role"))
 
 
 def first_seen_rank(spark, d):
-    return _ranks(spark, d).select("window_id", "template_id", "first_seen", F.col("internal_id").cast("long").alias("internal_id"))
+    return _ranks(spark, d, True).select("window_id", "template_id", "first_seen", F.col("internal_id").cast("long").alias("internal_id"))
 
 
 def new_vanished(spark, d):
-    return stats.stability(stats.template_stats(src.driver_events(spark, d, template="fine"))).select("window_id", "new_templates", "vanished_templates")
+    return stats.stability(stats.template_stats(src.driver_events(spark, d, template="fine"), False)).select("window_id", "new_templates", "vanished_templates")
 
 
 def stability_kl_js(spark, d):
-    s = stats.stability(stats.template_stats(src.driver_events(spark, d)))
+    s = stats.stability(stats.template_stats(src.driver_events(spark, d), False))
     return s.select("window_id", r6("kl_divergence").alias("kl_divergence"), r6("js_divergence").alias("js_divergence"), r6("stability_score").alias("stability_score"))
 
 
 def window_spine(spark, d):
-    return stats.spine(stats.template_stats(src.driver_events(spark, d))).select("window_id")
+    return stats.spine(stats.template_stats(src.driver_events(spark, d), False)).select("window_id")
 
 
 def _ngrams(spark, d, config: Config, **kw):
@@ -118,7 +118,7 @@ def branching_trigram(spark, d):
 
 def dominant_path(spark, d):
     e = src.driver_events(spark, d, window="w10")
-    p = behavior.dominant_path(_edges(spark, d), stats.with_rank(stats.template_stats(e)), 8)
+    p = behavior.dominant_path(_edges(spark, d), stats.with_rank(stats.template_stats(e, False)), 8)
     return p.select("window_id", F.col("step").cast("long").alias("step"), "template_id")
 
 
@@ -127,12 +127,12 @@ def surprise_band(spark, d):
 
 
 def novelty(spark, d):
-    r = _ranks(spark, d, window="w10", template="fine")
+    r = _ranks(spark, d, True, window="w10", template="fine")
     return r.select("window_id", "template_id", novelty_band(F.col("first_seen"), F.col("lines"), F.col("count")).cast("long").alias("novelty"))
 
 
 def _reservoir(spark, d) -> tuple[DataFrame, DataFrame]:
-    ranks = _ranks(spark, d, window="w10")
+    ranks = _ranks(spark, d, True, window="w10")
     found = reservoir.candidates(ranks, behavior.surprise(_edges(spark, d)), RETENTION.top_k_size)
     return ranks, reservoir.reservoir(found, RETENTION)
 
@@ -330,7 +330,7 @@ def compose_fold_month(spark, d):
 
 def presence_churn(spark, d):
     """Each fine template's presence, day by day on the spine, from exhaustive windows."""
-    s = stats.template_stats(src.driver_events(spark, d, template="fine"))
+    s = stats.template_stats(src.driver_events(spark, d, template="fine"), False)
     grid = stats.spine(s).join(s.select("source", "template_id").distinct(), "source")
     seen = grid.join(s.select(*KEYS, "template_id", F.lit(churn.PRESENT).alias("p")), [*KEYS, "template_id"], "left").withColumn("p", F.coalesce("p", F.lit(churn.ABSENT)))
     f = churn.fold(seen, ["template_id"], "window_id", "p")
@@ -362,7 +362,7 @@ def document_sources(spark, d):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     level = F.when(F.col("toxic") == 1, 4).when(F.col("quality") == 0, 3).otherwise(2)
     rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("seq"), F.col("source").alias("template_str"), level.alias("level"), F.col("lang").alias("component"))
-    s = stats.with_rank(stats.template_stats(src.canonical(rows)))
+    s = stats.with_rank(stats.template_stats(src.canonical(rows), False))
     return s.select("template_str", "count", F.col("level").cast("long").alias("level"), "component", F.col("rank").cast("long"))
 
 
