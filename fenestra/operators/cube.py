@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CUBE_BUDGET, ERROR, KEYS
+from ..sources.shared import materialise
 
 DIMS = ["level", "component", "role"]
 
@@ -98,12 +99,15 @@ def border(previous: DataFrame, current: DataFrame, keys: list[str], dims: list[
     now, was = cells(here, keys, dims), cells(there, keys, dims)
     same = [*keys, "pinned", *dims]
     new = now.join(was.select(*[F.col(c).alias(f"_{c}") for c in same]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]), "left_anti").select(*same, "count")
+    new = materialise(new, "emergent")
     parents = None
     for i, d in enumerate(dims):
         up = new.where(F.col("pinned").bitwiseAND(1 << i) != 0).select(*[F.col(c).alias(f"k_{c}") for c in same], *keys, (F.col("pinned") - (1 << i)).alias("pinned"), *[F.lit(None).cast(new.schema[c].dataType).alias(c) if c == d else F.col(c) for c in dims])
         parents = up if parents is None else parents.unionAll(up)
     on = lambda left, right, prefix: reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"{prefix}{c}"]) for c in same])
-    hits = parents.join(new.select(*[F.col(c).alias(f"p_{c}") for c in same]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in same]))
+    found = new.select(*[F.col(c).alias(f"p_{c}") for c in same])
+    hits = parents.join(found, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in same]))
+    hits = materialise(hits.select(*[f"k_{c}" for c in same], *[f"p_{c}" for c in same]), "generalisations")
     child, parent = hits.select(*[f"k_{c}" for c in same]).distinct(), hits.select(*[f"p_{c}" for c in same]).distinct()
     upper = new.join(child, on(new, child, "k_"), "left_anti").withColumn("side", F.lit("upper"))
     lower = new.join(parent, on(new, parent, "p_"), "left_anti").withColumn("side", F.lit("lower"))

@@ -74,12 +74,13 @@ def divergences(previous: DataFrame, current: DataFrame, keys: list[str], key: l
     """kl_divergence and js_divergence, in bits, of (``keys``, ``key``, count, total) frames, by ``keys``.
 
     Laplace-smoothed by one over the union of their keys; totals may exceed the counts' sums (truncated lists). Rows of
-    one side only count 0 on the other. Both frames need every group of ``keys``.
+    one side only count 0 on the other. Groups that one frame lacks have no row. One union and two shuffles; no join.
     """
-    p = previous.select(*keys, *key, F.col("count").alias("a"))
-    c = current.select(*keys, *key, F.col("count").alias("b"))
-    sums = previous.groupBy(*keys).agg(F.max("total").alias("na")).join(current.groupBy(*keys).agg(F.max("total").alias("nb")), keys)
-    both = p.join(c, [*keys, *key], "full").join(sums, keys).withColumn("k", F.count("*").over(W.partitionBy(*keys)))
+    side = lambda f, own, other: f.select(*keys, *key, F.col("count").alias(own[0]), F.col("total").alias(own[1]), *[F.lit(None).cast("long").alias(c) for c in other])
+    rows = side(previous, ("a", "na"), ("b", "nb")).unionByName(side(current, ("b", "nb"), ("a", "na")))
+    group = W.partitionBy(*keys)
+    both = rows.groupBy(*keys, *key).agg(*[F.max(c).alias(c) for c in ("a", "b", "na", "nb")])
+    both = both.withColumns({"na": F.max("na").over(group), "nb": F.max("nb").over(group), "k": F.count("*").over(group)}).where("na > 0 and nb > 0")
     pc = (F.coalesce("b", F.lit(0)) + 1) / (F.col("nb") + F.col("k"))
     pp = (F.coalesce("a", F.lit(0)) + 1) / (F.col("na") + F.col("k"))
     return both.withColumns({"p": pc, "q": pp}).groupBy(*keys).agg(
@@ -91,8 +92,6 @@ def stability(stats: DataFrame) -> DataFrame:
     """Each window against the one before it on the spine: a window after an empty one has no row."""
     total = F.sum("count").over(W.partitionBy(*KEYS)).alias("total")
     rows = stats.select(*KEYS, "template_id", "count", total)
-    there = rows.select(*KEYS).distinct()
-    pairs = there.join(there.select("source", (F.col("window_id") + 1).alias("window_id")), KEYS, "left_semi")
-    previous = rows.withColumn("window_id", F.col("window_id") + 1).join(pairs, KEYS, "left_semi")
-    out = divergences(previous, rows.join(pairs, KEYS, "left_semi"), KEYS, ["template_id"])
+    previous = rows.withColumn("window_id", F.col("window_id") + 1)
+    out = divergences(previous, rows, KEYS, ["template_id"])
     return out.withColumn("stability_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("js_divergence"))))
