@@ -31,7 +31,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes (``value`` may turn them into something else)."""
+    """Ids of texts as little-endian unsigned 32-bit bytes (``value`` may turn them into something else that adds up)."""
 
     def __init__(self, path: str, value: Callable[[bytes], object] = bytes, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,13 +66,31 @@ class WordEncoder:
         try:
             return list(map(self.cache.__getitem__, words))
         except KeyError:
-            missing = list(set(words).difference(self.cache))
+            missing = set(words).difference(self.cache)
             if len(self.cache) + len(missing) > self.limit:
                 self.cache.clear()
-                missing = list(set(words))
-            self.cache.update(zip(missing, map(self.value, self._ids_of_words(missing)), strict=True))
+                missing = set(words)
+            self._fill(missing)
             return list(map(self.cache.__getitem__, words))
 
+    def _fill(self, missing: set[str]) -> None:
+        """Encodes words the cache lacks. Letters of Latin-1, with one full stop or comma at most, are known by their lower
+        case and the mark apart, as the tokenizer folds case and never merges letters with marks."""
+        cache, encode, derived = self.cache, set(), []
+        for w in missing:
+            low = w.lower()
+            base, mark = (low[:-1], low[-1]) if low[-1:] in (".", ",") else (low, "")
+            if base != w and base.isalpha() and (base.isascii() or max(base) <= "ÿ") and (w.isascii() or max(w) <= "ÿ"):
+                derived.append((w, base, mark))
+                if base not in cache:
+                    encode.add(base)
+            else:
+                encode.add(w)
+        encode.update(m for m in ("", ".", ",") if m not in cache)
+        words = list(encode)
+        cache.update(zip(words, map(self.value, self._ids_of_words(words)), strict=True))
+        cache.update((w, cache[base] + cache[mark]) for w, base, mark in derived)
+
     def ids(self, text: str) -> bytes:
         return b"".join(self.words(text))
 
