@@ -30,6 +30,12 @@ _CONTENT_TAGS = {"article", "main"}
 #: Words of classes and ids that mark what is not main text, and what is. Fixed values.
 _BOILER_HINTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "widget", "footer", "foot", "header", "masthead", "topbar", "comment", "comments", "disqus", "discussion", "reply", "replies", "respond", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "privacy", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "popup", "modal", "overlay", "search", "form", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "alert", "outbrain", "taboola", "tags", "byline", "meta", "skip"}
 _CONTENT_HINTS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+_STORY_HINTS = {"article", "post", "entry", "story"}
+#: Of the first, those that decide even for an article element or an element called one; parts of words that do; and words
+#: that say an element only has to do with such. Fixed values.
+_STRONG_HINTS = {"ad", "ads", "comment", "comments", "related", "reply", "replies", "sponsored", "promo"}
+_STRONG_PARTS = ("comment", "advert", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb")
+_ABOUT = {"has", "with", "without"}
 _WORDS = re.compile(r"[a-z]+")
 
 #: Labelled blocks: words, link density in percent, the same of the previous and of the next block, region (0 unknown,
@@ -85,10 +91,8 @@ def classify(features: tuple) -> int:
 
 
 def _region(tag: str, attrs: str, outer: int) -> int:
-    """The region that a container begins: boilerplate stays so inside; content inside boilerplate does not come back."""
-    if outer == 2:
-        return 2
-    if tag in _BOILER_TAGS:
+    """The region that an element begins: boilerplate stays so inside; content inside boilerplate does not come back."""
+    if outer == 2 or tag in _BOILER_TAGS:
         return 2
     hints: set[str] = set()
     if attrs and tag not in ("body", "html"):
@@ -96,7 +100,9 @@ def _region(tag: str, attrs: str, outer: int) -> int:
             hints |= set(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
         if _HIDDEN.search(attrs):
             return 2
-    if hints & _BOILER_HINTS and not (tag in _CONTENT_TAGS or hints & {"article", "post", "entry", "story"} and not hints & {"comment", "comments", "related", "ad", "ads", "advert", "sponsored", "promo"}):
+    if not hints & _ABOUT and (hints & _STRONG_HINTS or any(part in h for h in hints for part in _STRONG_PARTS)):
+        return 2
+    if not hints & _ABOUT and hints & _BOILER_HINTS and not (tag in _CONTENT_TAGS or hints & _STORY_HINTS):
         return 2
     if tag in _CONTENT_TAGS or hints & _CONTENT_HINTS:
         return 1
@@ -110,6 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
     region = heading = in_link = 0
+    here: int | None = None  # the region of a block whose own tag tells
 
     def flush() -> None:
         nonlocal parts, linked
@@ -117,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, text.count(" ") + 1, links, region, heading))
+                out.append((text, text.count(" ") + 1, links, region if here is None else here, heading))
         parts, linked = [], []
 
     pos, n = 0, len(page)
@@ -142,6 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 parts.append(" ")
             continue
         flush()
+        here = None
         if tag in _RAW or tag == "head":
             if not closing and not (m[3] or "").rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
@@ -151,6 +159,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     break
         elif tag in _HEADINGS:
             heading = 0 if closing else 1
+            here = _region(tag, m[3], region) if not closing and m[3] else None
         elif tag in _CONTAINERS:
             heading = in_link = 0
             if closing:
@@ -164,6 +173,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 region = _region(tag, m[3] or "", region)
         else:
             heading = 0
+            here = _region(tag, m[3], region) if not closing and m[3] else None
     flush()
     return out
 

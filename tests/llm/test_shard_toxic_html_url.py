@@ -105,6 +105,13 @@ def test_html_blocks():
     assert htmltext.extract(PAGE) == "Title & more\n\nFirst para with words <b>. Next link here.\n\nSecond.\n\nThird one."
 
 
+def test_html_hints():
+    page = """<body><div class="page has-sidebar"><main><article class="post"><p>One good line.</p><p class="advert">Buy.</p><p class="lead">Two.</p>
+    <article class="comment"><p>I disagree with all of this.</p></article><h2 class="related-title">More</h2><p>Three.</p></article>
+    <ol class="commentlist"><li>And I agree with it entirely, my friends.</li></ol></main><div id="userComments"><p>Me too.</p></div></div>"""
+    assert htmltext.extract(page) == "One good line.\n\nTwo.\n\nThree."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a href='", "</p>", "<!--", "<script>x", "&am", "<table><tr><td>"])
 def test_html_broken_pages(page):
     assert isinstance(htmltext.extract(page), str)
