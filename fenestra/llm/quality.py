@@ -1,10 +1,10 @@
 """Quality rules with an n-gram language model: a modified Kneser-Ney model over the characters of words.
 
 The corpus is counted by Spark: every word of every text, as character 5-grams within the word (padded in front, with
-an end mark), per language. An n-gram is known by its slot, a hash of language and characters folded to ``FOLD_BITS``
-bits, so that a model has a proven bound whatever the corpus (n-grams that share a slot share counts). The model is
-sorted arrays of slots with interpolated log probabilities, and of contexts with backoff weights; workers look slots up
-by binary search and remember the score of each word, as it depends on the word alone.
+an end mark), per language. Every different n-gram of every language keeps its own count, so the model grows with the
+corpus. It is sorted arrays of slots, 64-bit hashes of language and characters, with interpolated log probabilities, and
+of contexts with backoff weights; workers look slots up by binary search and remember the score of each word, as it
+depends on the word alone.
 
 Perplexity of a text: two to the mean number of bits per word, end marks included. Each language's band follows
 from the quartiles of all its texts; texts below or above it are rejected.
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import materialise, small_batches, worker_state
 
 ORDER = 5
-FOLD_BITS = 21
 #: Interquartile ranges that the band reaches beyond the quartiles.
 LOWER, UPPER = 8.0, 6.0
 #: The narrowest band, in bits around the median.
@@ -47,13 +46,13 @@ def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slots(cps: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
-    """Slots of n-grams (rows of code points) in a language given by its number."""
+    """Slots of n-grams (rows of code points) in a language given by its number: all 64 bits of a hash."""
     with np.errstate(over="ignore"):
         h = np.zeros(len(cps), dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(lang, dtype=np.uint64) + np.uint64(1 + cps.shape[1]))
         for k in range(cps.shape[1]):
             h = (h ^ cps[:, k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - FOLD_BITS)).astype(np.int32)
+    return h
 
 
 def _lang_number(lang: str | None) -> int:
@@ -69,11 +68,11 @@ def _ngram_rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(back, weights=n).astype(np.int64)
         text = ["".join(map(chr, g)) for g in grams[first].tolist()]
         number = pa.array(np.full(len(keys), _lang_number(lang), dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), number, pa.array(text), pa.array(total)], names=["slot", "lang_no", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([number, pa.array(text), pa.array(total)], names=["lang_no", "gram", "n"])
 
 
 def count_ngrams(docs: DataFrame, flush_words: int = 100_000) -> DataFrame:
-    """(slot, lang_no, gram, n) over every word of ``docs``: at most 2 ** FOLD_BITS rows."""
+    """(lang_no, gram, n) over every word of ``docs``: a row for each different n-gram of each language."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +86,8 @@ def count_ngrams(docs: DataFrame, flush_words: int = 100_000) -> DataFrame:
                 counts = {}
         yield from _ngram_rows({k: v for k, v in counts.items() if v})
 
-    rows = docs.select(F.col("text").cast("binary"), "lang").mapInArrow(run, "slot int, lang_no long, gram string, n long")
-    same = F.min(F.struct("lang_no", "gram"))
-    return rows.groupBy("slot").agg(same.alias("g"), F.sum("n").alias("n")).select("slot", "g.lang_no", "g.gram", "n")
+    rows = docs.select(F.col("text").cast("binary"), "lang").mapInArrow(run, "lang_no long, gram string, n long")
+    return rows.groupBy("lang_no", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -104,10 +102,11 @@ class KneserNey:
 
     @classmethod
     def fit(cls, grams: list[str], lang_no: np.ndarray, n: np.ndarray) -> KneserNey:
-        if not len(grams):
+        """grams: the n-grams in order, each alone or several in one string."""
+        if not len(n):
             return cls([], [], [], [], -8.0)
         cps = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, ORDER)
-        counts, rows = n.astype(np.float64), np.arange(len(grams))
+        counts, rows = n.astype(np.float64), np.arange(len(n))
         levels = []
         for k in range(ORDER, 0, -1):
             keys, first, back = np.unique(_slots(cps[rows][:, ORDER - k :], lang_no[rows]), return_index=True, return_inverse=True)
@@ -163,8 +162,10 @@ class KneserNey:
 
 
 def fit_model(docs: DataFrame) -> KneserNey:
-    got = count_ngrams(docs).select("slot", "lang_no", "gram", "n").toArrow().sort_by("slot")
-    return KneserNey.fit(got.column("gram").to_pylist(), got.column("lang_no").to_numpy(), got.column("n").to_numpy())
+    got = count_ngrams(docs).toArrow()
+    # strings of a chunk at a time: a list of every n-gram would be many times the table
+    grams = ["".join(c.to_pylist()) for c in got.column("gram").chunks]
+    return KneserNey.fit(grams, got.column("lang_no").to_numpy(), got.column("n").to_numpy())
 
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], dtype=np.uint64)
