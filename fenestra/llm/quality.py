@@ -26,9 +26,9 @@ from .common import materialise, small_batches, worker_state
 
 ORDER = 5
 #: Interquartile ranges that the band reaches beyond the quartiles.
-LOWER, UPPER = 8.0, 6.0
+LOWER, UPPER = 1.5, 3.0
 #: The narrowest band, in bits around the median.
-LEAST_BITS = 2.0
+LEAST_BITS = 0.5
 #: Languages up to which their bands are broadcast.
 MAX_BROADCAST_LANGS = 10_000
 PAD, END = "\x02", "\x03"

@@ -18,3 +18,21 @@ def test_every_ngram_of_every_language_keeps_its_count(docs_of):
     assert len(want) > 20_000 and got == dict(want)
     lm = quality.fit_model(docs_of(rows))
     assert len(lm.slots[quality.ORDER - 1]) == len(want)
+
+
+def test_both_bands_reject_planted_texts(docs_of):
+    rng = random.Random(6)
+    make = lambda n: ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(n)]
+    words = make(800)
+    plain = [(i, " ".join(rng.choice(words) for _ in range(80))) for i in range(400)]
+    common = words[:12]
+    for i in range(0, 400, 2):  # common words make up a fifth of half the texts, as stop words do
+        w = plain[i][1].split()
+        plain[i] = (i, " ".join(rng.choice(common) if rng.random() < 0.2 else x for x in w))
+    low = [(1000 + i, " ".join(rng.choice(common) for _ in range(80))) for i in range(5)]
+    high = [(2000 + i, " ".join(x if rng.random() < 0.5 else "".join(rng.choice("qxzwvjy") for _ in range(6)) for x in rng.choices(words, k=80))) for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.quality(docs_of(plain + low + high)).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert not any(got[i]["kept"] for i, _ in low + high)
+    lost = [i for i, _ in plain if not got[i]["kept"]]
+    assert len(lost) <= 8, lost
