@@ -13,6 +13,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -68,6 +69,39 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lcs_row(a: list, b: list) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` with b[:0], b[:1] ... b, by bits of one whole number."""
+    places: dict = defaultdict(int)
+    for j, x in enumerate(b):
+        places[x] |= 1 << j
+    ones = (1 << len(b)) - 1
+    v = ones
+    for x in a:
+        if u := v & places.get(x, 0):
+            v = ((v + u) | (v - u)) & ones
+    return [0, *accumulate(int(c == "0") for c in bin(v | 1 << len(b))[:2:-1])]
+
+
+def longest_common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence (Hirschberg: space in proportion to the sequences)."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        mid = (a0 + a1) // 2
+        left, right = _lcs_row(a[a0:mid], b[b0:b1]), _lcs_row(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
+        both = [x + y for x, y in zip(left, right, strict=True)]
+        if best := max(both):
+            cut = b0 + both.index(best)
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences: equal ends first, then items unique on both sides as anchors, then between them."""
     out: list[tuple[int, int]] = []
@@ -85,17 +119,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         na, nb = Counter(a[a0:a1]), Counter(b[b0:b1])
         at = {x: j for j, x in enumerate(b[b0:b1], b0) if nb[x] == 1}
         anchors = _longest_rising([(i, at[x]) for i, x in enumerate(a[a0:a1], a0) if na[x] == 1 and x in at])
-        if not anchors:  # only repeated items are shared: each is paired with its next occurrence
-            after = b0
-            where: dict = defaultdict(list)
-            for j in range(b0, b1):
-                where[b[j]].append(j)
-            for i in range(a0, a1):
-                js = where.get(a[i], ())
-                k = bisect_left(js, after)
-                if k < len(js):
-                    out.append((i, js[k]))
-                    after = js[k] + 1
+        if not anchors:  # only repeated items are shared
+            out += [(a0 + i, b0 + j) for i, j in longest_common(a[a0:a1], b[b0:b1])]
             continue
         ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
         out += anchors

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from fenestra.llm import quality
+from fenestra.llm import linededup, quality
 
 
 def test_every_ngram_of_every_language_keeps_its_count(docs_of):
@@ -36,3 +36,25 @@ def test_both_bands_reject_planted_texts(docs_of):
     assert not any(got[i]["kept"] for i, _ in low + high)
     lost = [i for i, _ in plain if not got[i]["kept"]]
     assert len(lost) <= 8, lost
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_segments_without_anchors_align_by_a_longest_common_subsequence():
+    assert len(linededup.patience(list("qpprr"), list("pprrqq"))) == 4
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(24))] for _ in range(2))
+        pairs = linededup.longest_common(a, b)
+        assert len(pairs) == lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    a, b = ([rng.randrange(40) for _ in range(3000)] for _ in range(2))
+    assert len(linededup.longest_common(a, b)) > 500
