@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment: shared rare lines find overlapping documents, a patience diff aligns them, and the
 aligned blocks go from the later document.
 
-A line is known by a 128-bit hash of its bytes without outer white space. Its owner is the document of smallest doc_id
-that has it. A later document is compared with the owners of its lines only, so each (line, document) gives one row at
-most and no group is ever expanded into pairs, however many documents share a line. Lines of fewer than ``min_words``
+A line is known by a 128-bit hash of its bytes without outer white space, a run of 2, 4 or 8 lines (blank ones left out)
+by a hash of its lines' hashes. The owner of a line or run is the document of smallest doc_id that has it. A later
+document is compared with the owners of its lines and of its runs: a block copied from one document is found there even
+if its lines lie in another order in an earlier one. Each (line or run, document) gives one row at most and no group is
+ever expanded into pairs, however many documents share a line. Lines of fewer than ``min_words``
 words in blocks that stay below ``min_words`` altogether are kept.
 """
 
@@ -23,34 +25,44 @@ from .common import materialise, small_batches
 
 #: Words that a run of aligned lines needs to be deleted.
 MIN_WORDS = 10
+#: Consecutive lines that have an owner together.
+RUNS = (1, 2, 4, 8)
 
 
 def _lines(text: str) -> list[str]:
     return text.split("\n")
 
 
+def _filled(text: str) -> list[int]:
+    """The places of the lines that have a word."""
+    return [i for i, line in enumerate(_lines(text)) if line.strip()]
+
+
 def _hash(line: str) -> bytes:
     return hashlib.blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, at): the positions of each different line that has a word, per document."""
+    """(doc_id, text_hash, line, size, at): where each different run of ``size`` lines begins, per document, in numbers of lines that have a word."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, places = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own: dict[bytes, list[int]] = defaultdict(list)
-                for i, line in enumerate(_lines(text or "")):
-                    if line.strip():
-                        own[_hash(line)].append(i)
-                ids += [doc_id] * len(own)
-                hashes += own
-                places += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "line", "at"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, line binary, at array<int>")
+            ids, texts, hashes, sizes, places = [], [], [], [], []
+            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = [_hash(line) for line in _lines(text or "") if line.strip()]
+                for size in RUNS:
+                    own: dict[bytes, list[int]] = defaultdict(list)
+                    for i in range(len(lines) - size + 1):
+                        own[lines[i] if size == 1 else hashlib.blake2b(b"".join(lines[i : i + size]), digest_size=16).digest()].append(i)
+                    ids += [doc_id] * len(own)
+                    texts += [text_hash] * len(own)
+                    hashes += own
+                    sizes += [size] * len(own)
+                    places += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "line", "size", "at"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, line binary, size int, at array<int>")
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -128,17 +140,25 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_lines(matches: list[tuple[int, bytes, list[int], list[int]]]) -> dict[int, int]:
-    """Line of the later document -> earlier document it is aligned with. matches: (earlier, line, its places there, here)."""
+def aligned_lines(text: str, matches: list[tuple[tuple[int, int], int, list[int], list[int]]]) -> dict[int, int]:
+    """Line of the later document -> earlier document it is aligned with. matches: (earlier
+    document and its text's hash, lines, where they begin there, here)."""
+    lines, filled = _lines(text), _filled(text)
     found: dict[int, int] = {}
-    by: dict[int, list] = defaultdict(list)
-    for earlier, line, there, here in matches:
-        by[earlier].append((line, there, here))
+    by: dict[tuple[int, int], list] = defaultdict(list)
+    for earlier, size, there, here in matches:
+        by[earlier].append((size, there, here))
     for earlier in sorted(by):
-        a = sorted((i, line) for line, there, _ in by[earlier] for i in there)
-        b = sorted((j, line) for line, _, here in by[earlier] for j in here)
-        for _, j in patience([x for _, x in a], [x for _, x in b]):
-            found.setdefault(b[j][0], earlier)
+        a: dict[int, str] = {}
+        b: dict[int, str] = {}
+        for size, there, here in by[earlier]:
+            for k in range(size):
+                line = lines[filled[here[0] + k]].strip()
+                a.update((i + k, line) for i in there)
+                b.update((j + k, line) for j in here)
+        at = sorted(b)
+        for _, j in patience([a[i] for i in sorted(a)], [b[j] for j in at]):
+            found.setdefault(filled[at[j]], earlier[0])
     return found
 
 
@@ -172,23 +192,23 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     smallest doc_id is the earlier one. An empty table gives no rows. Further columns of ``docs`` come back unchanged.
     """
     places = line_positions(docs)
-    owners = places.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
-    shared = owners.select("line", F.col("own.doc_id").alias("owner"), F.col("own.at").alias("there"))
-    matches = places.join(shared, "line").where("doc_id != owner").groupBy("doc_id").agg(F.collect_list(F.struct("owner", "line", "there", "at")).alias("m"))
-    matches = materialise(matches.select(F.col("doc_id").alias("_id"), "m"), "matches")
+    owners = places.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
+    shared = owners.select("line", F.col("own.doc_id").alias("owner"), F.col("own.text_hash").alias("owner_hash"), F.col("own.at").alias("there"))
+    matches = places.join(shared, "line").where("doc_id != owner").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("owner", "owner_hash", "size", "there", "at")).alias("m"))
+    matches = materialise(matches.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "m"), "matches")
     return _apply(docs, matches, min_words)
 
 
 def _apply(docs: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
-    joined = keep.join(matches, keep["doc_id"] == matches["_id"], "left").select("doc_id", "text", "m", "_rest")
+    joined = keep.join(matches, (keep["doc_id"] == matches["_id"]) & (F.xxhash64(keep["text"]) == matches["_hash"]), "left").select("doc_id", "text", "m", "_rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for text, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                aligned = aligned_lines([(x["owner"], x["line"], x["there"], x["at"]) for x in m]) if m and text else {}
+                aligned = aligned_lines(text, [((x["owner"], x["owner_hash"]), x["size"], x["there"], x["at"]) for x in m]) if m and text else {}
                 left, runs = delete_blocks(text, aligned, min_words) if aligned else (text, [])
                 earlier = sorted({aligned[j] for first, n, _ in runs for j in range(first, first + n) if j in aligned})
                 row = (left, len(_lines(text)) if text else 0, sum(n for _, n, _ in runs), sum(w for *_, w in runs), earlier, [dict(zip(("first", "lines", "words"), r, strict=True)) for r in runs])

@@ -38,6 +38,21 @@ def test_both_bands_reject_planted_texts(docs_of):
     assert len(lost) <= 8, lost
 
 
+def test_line_dedup_finds_blocks_behind_an_owner_in_another_order(docs_of):
+    rng = random.Random(8)
+    x, y, z = (" ".join(f"w{rng.randrange(9999)}" for _ in range(55)) for _ in range(3))
+    rows = [(1, f"{z}\n{y}\n{x}"), (2, f"{x}\n{y}\n\n{z}"), *[(i, f"own {i}\n{x}\n{y}\n{z}") for i in range(3, 7)]]
+    got = {r["doc_id"]: r for r in linededup.line_dedup(docs_of(rows)).collect()}
+    assert [got[i]["text"] for i in range(3, 7)] == [f"own {i}" for i in range(3, 7)]
+    assert got[1]["deleted_lines"] == 0 and got[2]["deleted_lines"] == 1 and 2 in got[3]["earlier"]
+    # pairs of a and b, c and d lie in document 1, but only document 2 has the whole run
+    a, b, c, d = (" ".join(f"v{rng.randrange(9999)}" for _ in range(20)) for _ in range(4))
+    rows = [(1, f"{c}\n{d}\n{a}\n{b}"), (2, f"{a}\n{b}\n{c}\n{d}"), (3, f"{a}\n{b}\n{c}\n{d}"), (4, f"{a}\n{b}"), (4, f"no\n{c}\nx")]
+    got = linededup.line_dedup(docs_of(rows)).collect()
+    assert [r["text"] for r in got if r["doc_id"] == 3] == [""]
+    assert sorted(r["text"] for r in got if r["doc_id"] == 4) == ["", "no\nx"]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
