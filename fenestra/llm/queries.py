@@ -14,7 +14,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 0.85)
 
 
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

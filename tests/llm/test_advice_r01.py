@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from fenestra.llm import linededup, quality
+from fenestra.llm import linededup, neardup, quality
 
 
 def test_every_ngram_of_every_language_keeps_its_count(docs_of):
@@ -38,6 +38,17 @@ def test_both_bands_reject_planted_texts(docs_of):
     assert len(lost) <= 8, lost
 
 
+def test_pipeline_links_from_similarity_080(docs_of):
+    words = [f"w{i}" for i in range(150)]
+    near = list(words)
+    for k in (20, 60, 100):  # 15 of 146 shingles differ: similarity 131 / 161 = 0.81
+        near[k] = f"x{k}"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether, and long enough")]
+    assert sorted(r["doc_id"] for r in neardup.near_duplicate_filter(docs_of(rows)).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in neardup.near_duplicate_filter(docs_of(rows), 0.85).collect()) == [1, 2, 3]
+    assert (1 - 0.8**neardup.ROWS) ** neardup.BANDS < 1e-7
+
+
 def test_line_dedup_finds_blocks_behind_an_owner_in_another_order(docs_of):
     rng = random.Random(8)
     x, y, z = (" ".join(f"w{rng.randrange(9999)}" for _ in range(55)) for _ in range(3))
