@@ -109,9 +109,9 @@ def _region(tag: str, attrs: str, outer: int) -> int:
     return outer
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, link words, region, heading) of a page's blocks, in page order; text keeps its white space runs as one space."""
-    out: list[tuple[str, int, int, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, words, link words, region, heading, region of the containers alone) of a page's blocks, in page order; text keeps its white space runs as one space."""
+    out: list[tuple[str, int, int, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
@@ -124,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, text.count(" ") + 1, links, region if here is None else here, heading))
+                out.append((text, text.count(" ") + 1, links, region if here is None else here, heading, region))
         parts, linked = [], []
 
     pos, n = 0, len(page)
@@ -181,13 +181,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 def extract(page: str | None) -> str:
     """The main text's blocks, joined by two line feeds; empty if there are none.
 
-    Where the page has content regions, only they can hold main text."""
+    Where containers that are content regions hold most of the text that lies in no boilerplate and no link, only content
+    regions can hold main text; a class of a heading or paragraph tells about that block alone."""
     found = blocks(page or "")
-    if any(b[3] == 1 for b in found):
-        found = [b if b[3] else (*b[:3], 2, b[4]) for b in found]
+    plain = [(b[1] - b[2], b[5]) for b in found if b[3] != 2]
+    if 2 * sum(n for n, container in plain if container == 1) > sum(n for n, _ in plain):
+        found = [b if b[3] else (*b[:3], 2, *b[4:]) for b in found]
     density = [round(100 * b[2] / b[1]) for b in found]
     keep = []
-    for i, (text, words, _, region, heading) in enumerate(found):
+    for i, (text, words, _, region, heading, _) in enumerate(found):
         before = (found[i - 1][1], density[i - 1]) if i else (0, 0)
         after = (found[i + 1][1], density[i + 1]) if i + 1 < len(found) else (0, 0)
         if classify((words, density[i], *before, *after, region, heading)):

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from fenestra.llm import linededup, neardup, quality
+from fenestra.llm import htmltext, linededup, neardup, quality
 
 
 def test_every_ngram_of_every_language_keeps_its_count(docs_of):
@@ -64,6 +64,20 @@ def test_line_dedup_finds_blocks_behind_an_owner_in_another_order(docs_of):
     assert sorted(r["text"] for r in got if r["doc_id"] == 4) == ["", "no\nx"]
 
 
+def test_html_class_of_one_block_does_not_drop_the_article():
+    long = "This paragraph of the article is long enough to be told from menus, notes and other things on the page by its words."
+    nav = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul>"
+    want = "\n\n".join([long + " 1", long + " 2", long + " 3"])
+    page = f"<body>{nav}<div><h1 class='post-title'>Title</h1><p>{long} 1</p><p>{long} 2</p><p>{long} 3</p></div></body>"
+    assert htmltext.extract(page) == "Title\n\n" + want
+    page = f"<body>{nav}<div><p>{long} 1</p><p class='text-justify'>{long} 2</p><p>{long} 3</p></div></body>"
+    assert htmltext.extract(page) == want
+    small = f"<body><div class='content'><p>A few words.</p></div><div><p>{long} 1</p><p>{long} 2</p><p>{long} 3</p></div></body>"
+    assert htmltext.extract(small).endswith(want)
+    held = f"<body><article><p>{long} 1</p><p>{long} 2</p><p>{long} 3</p></article><div><p>{long} 4</p></div></body>"
+    assert htmltext.extract(held) == want
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
