@@ -201,11 +201,11 @@ def text_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-FIELDS = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits")
+FIELDS = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits", "key")
 
 
-def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000) -> DataFrame:
-    """Counts of every text and its mean bits per word (null without words)."""
+def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000, key: F.Column | None = None) -> DataFrame:
+    """Counts of every text and its mean bits per word (null without words), with a string of the caller's per row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = f"words {uuid.uuid4().hex}"
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000) -> DataF
         lm, memo = shared.value, worker_state(token, dict)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, lang, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
                 counts = text_counts(text or b"", words)
                 bits = None
@@ -231,13 +231,13 @@ def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000) -> DataF
                         known.update(zip(missing, lm.bits([w.decode("utf-8", "replace") for w in missing], _lang_number(lang)), strict=True))
                         total = sum(map(known.__getitem__, words))
                     bits = -total / counts[0]
-                rows.append((doc_id, lang or "", *counts, bits))
-            types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64())
+                rows.append((doc_id, lang or "", *counts, bits, own))
+            types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.string())
             cols = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=list(FIELDS))
 
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang").mapInArrow(run, schema)
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, key string"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang", (F.lit(None).cast("string") if key is None else key).alias("key")).mapInArrow(run, schema)
 
 
 def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, least: float = LEAST_BITS) -> DataFrame:
@@ -258,7 +258,12 @@ def quality(docs: DataFrame) -> DataFrame:
     language of its own. Repeated rows each get a row; ties don't arise. An empty table gives no rows. Other columns are
     not read.
     """
-    scored = materialise(score(docs, fit_model(docs)), "scored")
+    return _judge(docs).drop("key")
+
+
+def _judge(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """:func:`quality` with a further string column ``key``, null unless given."""
+    scored = materialise(score(docs, fit_model(docs), key=key), "scored")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     limits = materialise(bands(scored), "bands")
@@ -266,10 +271,16 @@ def quality(docs: DataFrame) -> DataFrame:
     limits = F.broadcast(limits) if limits.count() <= MAX_BROADCAST_LANGS else limits
     return scored.join(limits, "lang", "left").withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
-        F.pow(F.lit(2.0), "bits").alias("perplexity"), "lang")
+        F.pow(F.lit(2.0), "bits").alias("perplexity"), "lang", "key")
+
+
+def _row_key() -> F.Column:
+    """What the verdict on a row follows from: its language and text, by a 128-bit hash. Rows equal in both share a verdict."""
+    lang = F.coalesce("lang", F.lit("")).cast("binary")
+    return F.md5(F.concat(F.length(lang).cast("string").cast("binary"), F.lit(" ").cast("binary"), lang, F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that :func:`quality` rejects (all rows of their doc_id)."""
-    out = materialise(quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows that :func:`quality` rejects. Each row is judged by itself, whatever its doc_id."""
+    out = materialise(_judge(docs, _row_key()).where(~F.col("kept")).select(F.col("key").alias("_gone")).distinct(), "rejected")
+    return docs.join(out, _row_key() == F.col("_gone"), "left_anti")

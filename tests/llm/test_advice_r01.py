@@ -78,6 +78,18 @@ def test_html_class_of_one_block_does_not_drop_the_article():
     assert htmltext.extract(held) == want
 
 
+def test_quality_filter_judges_rows_not_ids(docs_of):
+    rng = random.Random(13)
+    words = ["the", "of", "and", "water", "stone", "river", "small", "light", "morning", "garden", "walk", "slow"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(60))
+    clean = [(None, prose()), (None, prose()), (7, prose())]
+    rows = [(100 + i, prose()) for i in range(50)] + clean + [(None, "too short"), (7, "also short"), (None, None), (7, "")]
+    left = quality.quality_filter(docs_of(rows))
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert got == Counter((i, t) for i, t in rows if t and len(t) > 20)
+    assert {"label", "slice", "_id"} <= set(left.columns)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
