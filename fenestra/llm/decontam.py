@@ -11,6 +11,7 @@ blocks below the threshold are skipped. In the blocks left, WAND moves cursors o
 A retrieved item counts if the document covers its question and its answer: shares of their five-word shingles.
 
 The benchmark is read in blocks of ``ITEMS`` items at most, so the broadcast index has a bound; each block is one pass.
+Item count, document frequencies, mean length and passage length are those of the whole benchmark in every block.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +66,21 @@ def coverage(part: list[str], words: list[str], known: dict[int, set]) -> float:
     return len(own & known[size]) / len(own)
 
 
+@dataclass
+class Statistics:
+    """What an item's weights take from the whole benchmark."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]  # at least of the terms that the index has
+
+    @classmethod
+    def of(cls, texts: list[Counter]) -> Statistics:
+        lengths = [sum(c.values()) for c in texts]
+        return cls(len(texts), sum(lengths) / max(1, len(lengths)), max(lengths, default=1), Counter(w for c in texts for w in c))
+
+
 @dataclass
 class Index:
     items: list[int]
@@ -75,22 +91,24 @@ class Index:
     longest: int
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+        """whole: the benchmark's statistics, where ``rows`` are only a block of it."""
         rows = sorted((i, t) for i, t in rows if i is not None and t and terms(t))
         texts = [Counter(terms(t)) for _, t in rows]
         lengths = [sum(c.values()) for c in texts]
-        mean, df = sum(lengths) / max(1, len(lengths)), Counter(w for c in texts for w in c)
-        vocabulary = {w: i for i, w in enumerate(sorted(df))}
+        whole = whole or Statistics.of(texts)
+        mean, df = whole.mean, whole.df
+        vocabulary = {w: i for i, w in enumerate(sorted({w for c in texts for w in c}))}
         postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in vocabulary]
         maxima = np.zeros((len(vocabulary), max(1, math.ceil(len(rows) / BLOCK))), dtype=np.float32)
         for d, (c, n) in enumerate(zip(texts, lengths, strict=True)):
-            weight = {w: math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
+            weight = {w: math.log(1 + (whole.items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
             total = sum(weight.values())
             for w, x in weight.items():
                 t = vocabulary[w]
                 postings[t].setdefault(d // BLOCK, []).append((d, x / total))
                 maxima[t, d // BLOCK] = max(maxima[t, d // BLOCK], x / total)
-        return cls([i for i, _ in rows], [question_answer(t) for _, t in rows], vocabulary, postings, maxima, max(lengths, default=1))
+        return cls([i for i, _ in rows], [question_answer(t) for _, t in rows], vocabulary, postings, maxima, whole.longest)
 
     def search(self, query: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of at least ``threshold`` in the given blocks, by WAND: lists in order of their cursors; the
@@ -166,6 +184,33 @@ def _blocks_of(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int, str
         yield rows
 
 
+def _item_terms(benchmark: DataFrame) -> DataFrame:
+    """(length, terms): each item's number of terms and its different terms; items without terms are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [w for w in map(terms, batch.column(0).to_pylist()) if w]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, own), pa.int64()), pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))], names=["length", "terms"])
+
+    return benchmark.where("item_id is not null and text is not null").select("text").mapInArrow(run, "length long, terms array<string>")
+
+
+def _statistics(benchmark: DataFrame, items: int) -> Callable[[list[tuple[int, str]]], Statistics | None]:
+    """Gives the whole benchmark's statistics for a block's terms; none where one block is all of it."""
+    if benchmark.where("item_id is not null and text is not null").limit(items + 1).count() <= items:
+        return lambda rows: None
+    own = _item_terms(benchmark)
+    n, total, longest = own.agg(F.count("*"), F.sum("length"), F.max("length")).first()
+    counts = materialise(own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+
+    def of(rows: list[tuple[int, str]]) -> Statistics:
+        wanted = sorted({w for _, t in rows for w in terms(t)})
+        found = counts.join(counts.sparkSession.createDataFrame([(w,) for w in wanted], "term string"), "term", "left_semi").collect()
+        return Statistics(n, total / max(1, n) if n else 0.0, longest or 1, {r["term"]: r["df"] for r in found})
+
+    return of
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, cover: float = COVER, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_cover, answer_cover): items that a document holds, the best score of its passages.
 
@@ -177,8 +222,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     small_batches(spark)
     schema = "doc_id long, item_id long, score double, question_cover double, answer_cover double"
     out = spark.createDataFrame([], schema)
+    whole = _statistics(benchmark, items)
     for rows in _blocks_of(benchmark, items):
-        shared = spark.sparkContext.broadcast(Index.build(rows))
+        shared = spark.sparkContext.broadcast(Index.build(rows, whole(rows)))
         token = f"terms {uuid.uuid4().hex}"
         out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_searcher(shared, token, threshold, cover), schema))
     best = F.max(F.struct("score", "question_cover", "answer_cover"))

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from fenestra.llm import htmltext, linededup, neardup, quality
+from fenestra.llm import decontam, htmltext, linededup, neardup, quality
 
 
 def test_every_ngram_of_every_language_keeps_its_count(docs_of):
@@ -90,6 +90,22 @@ def test_quality_filter_judges_rows_not_ids(docs_of):
     assert {"label", "slice", "_id"} <= set(left.columns)
 
 
+def test_scores_do_not_depend_on_the_items_of_a_block(docs_of, spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(15)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(5000)}" for _ in range(10 + i))) for i in range(21)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        rows.append((i, " ".join(["x"] * 7 + words[: int(len(words) * (0.55 + 0.02 * i))] + ["y"] * 90)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [
+        {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontam.contamination(docs_of(rows), bench, items=n).collect()}
+        for n in (1024, 5, 1)
+    ]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
