@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment: shared rare lines find overlapping documents, a patience diff aligns them, and the
-aligned blocks go from the later document.
-
-A line is known by a 128-bit hash of its bytes without outer white space, a run of 2, 4 or 8 lines (blank ones left out)
-by a hash of its lines' hashes. The owner of a line or run is the document of smallest doc_id that has it. A later
-document is compared with the owners of its lines and of its runs: a block copied from one document is found there even
-if its lines lie in another order in an earlier one. Each (line or run, document) gives one row at most and no group is
-ever expanded into pairs, however many documents share a line. Lines of fewer than ``min_words``
-words in blocks that stay below ``min_words`` altogether are kept.
+aligned common blocks go from the later document.
+
+A line is known by a 128-bit hash of its bytes without outer white space. What can be deleted has ``min_words`` words or
+more, so documents are looked up by windows: the shortest runs of lines, from each line on and up to each line, that have
+that many words (a line of ``min_words`` words is a window of its own; blank lines are left out). Every line of every
+common block lies in a common window, so windows find all there is to find.
+
+A window that is in up to ``RARE`` rows is rare. A later document is aligned with every earlier one with which it shares
+a rare window, by a patience diff over the lines of their common rare windows; aligned lines that follow on each other in
+both documents are a block, and a block of ``min_words`` words or more goes. Rare windows give ``RARE - 1`` partners a row
+at most. Windows in more rows than that are found by their counts alone: each stands in its smallest document and goes
+from all others, in whatever order, without pairs. So no partner is left out and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from .common import materialise, small_batches
 
 #: Words that a run of aligned lines needs to be deleted.
 MIN_WORDS = 10
-#: Consecutive lines that have an owner together.
-RUNS = (1, 2, 4, 8)
+#: Rows up to which a window is rare, and its documents are aligned pair by pair.
+RARE = 8
 
 
 def _lines(text: str) -> list[str]:
@@ -42,24 +46,45 @@ def _hash(line: str) -> bytes:
     return hashlib.blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, size, at): where each different run of ``size`` lines begins, per document, in numbers of lines that have a word."""
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the shortest runs that have ``min_words`` words, from each line on and up to each line."""
+    out: dict[tuple[int, int], None] = {}
+    total = end = 0
+    for first, n in enumerate(words):
+        while end < len(words) and total < min_words:
+            total, end = total + words[end], end + 1
+        if total < min_words:
+            break
+        out[first, end - first] = None
+        total -= n
+    total = first = 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= min_words:
+            total, first = total - words[first], first + 1
+        if total >= min_words:
+            out[first, last + 1 - first] = None
+    return list(out)
+
+
+def line_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_hash, line, size, at): where each different window of ``size`` lines begins, per row, in numbers of lines that have a word."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, hashes, sizes, places = [], [], [], [], []
             for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [_hash(line) for line in _lines(text or "") if line.strip()]
-                for size in RUNS:
-                    own: dict[bytes, list[int]] = defaultdict(list)
-                    for i in range(len(lines) - size + 1):
-                        own[lines[i] if size == 1 else hashlib.blake2b(b"".join(lines[i : i + size]), digest_size=16).digest()].append(i)
-                    ids += [doc_id] * len(own)
-                    texts += [text_hash] * len(own)
-                    hashes += own
-                    sizes += [size] * len(own)
-                    places += own.values()
+                full = [line for line in _lines(text or "") if line.strip()]
+                lines = list(map(_hash, full))
+                own: dict[tuple[bytes, int], list[int]] = defaultdict(list)
+                for i, size in windows([len(line.split()) for line in full], min_words):
+                    own[lines[i] if size == 1 else hashlib.blake2b(b"".join(lines[i : i + size]), digest_size=16).digest(), size].append(i)
+                ids += [doc_id] * len(own)
+                texts += [text_hash] * len(own)
+                hashes += [h for h, _ in own]
+                sizes += [size for _, size in own]
+                places += map(sorted, own.values())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "line", "size", "at"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, line binary, size int, at array<int>")
@@ -140,25 +165,46 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_lines(text: str, matches: list[tuple[tuple[int, int], int, list[int], list[int]]]) -> dict[int, int]:
-    """Line of the later document -> earlier document it is aligned with. matches: (earlier
-    document and its text's hash, lines, where they begin there, here)."""
+def common_blocks(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of aligned lines that follow on each other on both sides."""
+    run: list[tuple[int, int]] = []
+    for pair in pairs:
+        if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+            yield run
+            run = []
+        run.append(pair)
+    if run:
+        yield run
+
+
+def aligned_lines(text: str, rare: list[tuple[tuple[int, int], int, list[int], list[int]]], frequent: list[tuple[int, int, list[int]]], min_words: int) -> dict[int, int]:
+    """Line of the later document -> earlier document in which the line's block stands too.
+
+    rare: (earlier document and its text's hash, lines, where they begin there, here) of each common rare window;
+    frequent: (smallest document, lines, where they begin here) of the other windows."""
     lines, filled = _lines(text), _filled(text)
+    plain = [lines[i].strip() for i in filled]
     found: dict[int, int] = {}
     by: dict[tuple[int, int], list] = defaultdict(list)
-    for earlier, size, there, here in matches:
+    for earlier, size, there, here in rare:
         by[earlier].append((size, there, here))
     for earlier in sorted(by):
         a: dict[int, str] = {}
         b: dict[int, str] = {}
         for size, there, here in by[earlier]:
             for k in range(size):
-                line = lines[filled[here[0] + k]].strip()
+                line = plain[here[0] + k]
                 a.update((i + k, line) for i in there)
                 b.update((j + k, line) for j in here)
-        at = sorted(b)
-        for _, j in patience([a[i] for i in sorted(a)], [b[j] for j in at]):
-            found.setdefault(filled[at[j]], earlier[0])
+        at, here = sorted(a), sorted(b)
+        for block in common_blocks([(at[i], here[j]) for i, j in patience([a[i] for i in at], [b[j] for j in here])]):
+            if sum(len(plain[j].split()) for _, j in block) >= min_words:
+                for _, j in block:
+                    found.setdefault(filled[j], earlier[0])
+    for owner, size, here in sorted(frequent):
+        for j in here:
+            for k in range(size):
+                found.setdefault(filled[j + k], owner)
     return found
 
 
@@ -184,17 +230,26 @@ def delete_blocks(text: str, aligned: dict[int, int], min_words: int) -> tuple[s
 OUT = "doc_id long, text string, n_lines int, deleted_lines int, deleted_words long, earlier array<long>, blocks array<struct<first:int,lines:int,words:long>>"
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """Each document with its text after deletion, and what was deleted: (first line, lines, words) and the documents aligned with.
 
     Null texts stay null, with no lines; empty texts have no lines either. Rows of one doc_id count as the same document:
     they don't delete from each other, and all are handled alike. A row without doc_id is returned as it is. Ties: the
-    smallest doc_id is the earlier one. An empty table gives no rows. Further columns of ``docs`` come back unchanged.
+    smallest doc_id is the earlier one. Very long texts cost by their lines. An empty table gives no rows. Further columns
+    of ``docs`` come back unchanged; one called like a column of the result gives way to it.
     """
-    places = line_positions(docs)
-    owners = places.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
-    shared = owners.select("line", F.col("own.doc_id").alias("owner"), F.col("own.text_hash").alias("owner_hash"), F.col("own.at").alias("there"))
-    matches = places.join(shared, "line").where("doc_id != owner").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("owner", "owner_hash", "size", "there", "at")).alias("m"))
+    found = line_windows(docs, min_words)
+    # partial sums before the shuffle, so a window that many rows have is one row a task
+    counts = found.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    counts = materialise(counts.drop("last"), "windows")
+    # both sides come straight from their shuffles, so AQE splits a frequent window's rows
+    held = materialise(found.join(counts, "line").where((F.col("n") <= rare) | (F.col("doc_id") > F.col("first"))), "held")
+    frequent = held.where(F.col("n") > rare).select("doc_id", "text_hash", F.col("first").alias("earlier"), F.lit(None).cast("long").alias("earlier_hash"), "size", F.lit(None).cast("array<int>").alias("there"), "at")
+    own = F.struct("doc_id", "text_hash", "size", "at")
+    few = held.where(F.col("n") <= rare).groupBy("line").agg(F.collect_set(own).alias("rows"))  # ``rare`` rows at most
+    pairs = few.select("rows", F.explode("rows").alias("d")).select("d", F.explode("rows").alias("e")).where("e.doc_id < d.doc_id")
+    pairs = pairs.select("d.doc_id", "d.text_hash", F.col("e.doc_id").alias("earlier"), F.col("e.text_hash").alias("earlier_hash"), "d.size", F.col("e.at").alias("there"), "d.at")
+    matches = pairs.unionByName(frequent).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("earlier", "earlier_hash", "size", "there", "at")).alias("m"))
     matches = materialise(matches.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "m"), "matches")
     return _apply(docs, matches, min_words)
 
@@ -208,7 +263,9 @@ def _apply(docs: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for text, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                aligned = aligned_lines(text, [((x["owner"], x["owner_hash"]), x["size"], x["there"], x["at"]) for x in m]) if m and text else {}
+                rare = [((x["earlier"], x["earlier_hash"]), x["size"], x["there"], x["at"]) for x in m or () if x["there"] is not None]
+                frequent = [(x["earlier"], x["size"], x["at"]) for x in m or () if x["there"] is None]
+                aligned = aligned_lines(text, rare, frequent, min_words) if m and text else {}
                 left, runs = delete_blocks(text, aligned, min_words) if aligned else (text, [])
                 earlier = sorted({aligned[j] for first, n, _ in runs for j in range(first, first + n) if j in aligned})
                 row = (left, len(_lines(text)) if text else 0, sum(n for _, n, _ in runs), sum(w for *_, w in runs), earlier, [dict(zip(("first", "lines", "words"), r, strict=True)) for r in runs])
