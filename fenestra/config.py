@@ -21,6 +21,17 @@ SHIFT_FLOOR = 32
 KEYS = ["source", "window_id"]
 
 
+@dataclass(frozen=True)
+class SourceBlock:
+    """Where a document's events come from; tags are pairs of key and value."""
+
+    service: str | None = None
+    fleet: str | None = None
+    host_count: int | None = None
+    host: str | None = None
+    tags: tuple[tuple[str, str], ...] = ()
+
+
 @dataclass(frozen=True)
 class Config:
     top_k_size: int = 64
@@ -48,6 +59,7 @@ class Config:
     max_param_histograms: int = 0
     max_histogram_values: int = 64
     max_text_bytes: int = 64
+    source_block: SourceBlock = SourceBlock()
 
     def __post_init__(self) -> None:
         cap = self.max_text_bytes

@@ -82,6 +82,9 @@ def direction_of(signed: Column) -> Column:
     return F.when(signed < 0, "Up").when(signed > 0, "Down").otherwise("None")
 
 
-def finite_or_fail(value: Column, path: str) -> Column:
-    """``value``, or an error that names its path where it is NaN or infinite."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit(path)).cast("double")).otherwise(value)
+def finite_or_fail(value: Column, path: str, at: Column | None = None) -> Column:
+    """``value``, or an error that names its path where it is NaN or infinite; ``at`` is its index in a list, for [] in the
+    path."""
+    head, _, rest = path.partition("[]")
+    where = F.lit(path) if at is None else F.concat(F.lit(f"{head}["), at.cast("string"), F.lit(f"]{rest}"))
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(where).cast("double")).otherwise(value)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import OrderedDict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import KEYS, Config
@@ -13,14 +16,16 @@ from .order import ordered, ranked, with_ordinal, with_previous
 def ngram_events(events: DataFrame, config: Config = Config()) -> DataFrame:
     """(window, ids, ordinal): each n-gram occurrence, in rings by trace where tracing is on; spans take no part.
 
-    Rings are exact while a window has at most ``max_active_traces`` traces; beyond that, windows are replayed one by one
-    with eviction of the ring opened first."""
+    Only windows with more than ``max_active_traces`` traces (0: no bound) are replayed, each as one sorted stream, with
+    eviction of the ring opened first; a task holds that many rings of ``n`` ids."""
     n = config.effective_ngram_size
     rows = ordered(events).where(~F.col("is_span"))
     ring = F.col("trace_id") if config.trace_scoping_enabled else F.lit(None).cast("long")
     rows = rows.withColumn("_ring", ring).select(*KEYS, "_ring", "ordinal", "template_id")
     if not config.trace_scoping_enabled:
         return _by_lag(rows, n)
+    if config.max_active_traces == 0:
+        return _by_lag(rows, n)
     traces = rows.groupBy(*KEYS).agg(F.countDistinct("_ring").alias("_traces"))
     crowded = traces.where(F.col("_traces") > config.max_active_traces).select(*KEYS)
     if not crowded.limit(1).count():
@@ -36,22 +41,30 @@ def _by_lag(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _by_replay(rows: DataFrame, n: int, cap: int) -> DataFrame:
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings: dict[object, list[str]] = {}
-        out = []
-        for ring, at, t in pdf.sort_values("ordinal")[["_ring", "ordinal", "template_id"]].itertuples(index=False):
-            key = None if pd.isna(ring) else int(ring)
-            if key not in rings:
-                if key is not None and len(rings) - (None in rings) >= cap:
-                    del rings[next(k for k in rings if k is not None)]
-                rings[key] = []
-            rings[key] = [*rings[key], t][-n:]
-            if len(rings[key]) == n:
-                out.append((list(rings[key]), at))
-        head = pdf[KEYS].iloc[0]
-        return pd.DataFrame({"source": head["source"], "window_id": head["window_id"], "ids": pd.Series([x for x, _ in out], dtype=object), "ordinal": pd.Series([x for _, x in out], dtype="int64")})
-
-    return rows.groupBy(*KEYS).applyInPandas(replay, "source string, window_id long, ids array<string>, ordinal long")
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, alone, rings = None, deque(maxlen=n), OrderedDict()
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for source, w, ring, at, template in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, w) != window:
+                    window, alone, rings = (source, w), deque(maxlen=n), OrderedDict()
+                if ring is None:
+                    ids = alone
+                else:
+                    if ring not in rings:
+                        if len(rings) >= cap:
+                            rings.popitem(last=False)
+                        rings[ring] = deque(maxlen=n)
+                    ids = rings[ring]
+                ids.append(template)
+                if len(ids) == n:
+                    for col, v in zip(out, (source, w, list(ids), at), strict=True):
+                        col.append(v)
+            types = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*KEYS, "ids", "ordinal"])
+
+    ordered_rows = rows.select(*KEYS, "_ring", "ordinal", "template_id").repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal")
+    return ordered_rows.mapInArrow(replay, "source string, window_id long, ids array<string>, ordinal long")
 
 
 def admitted(occurrences: DataFrame, key: list[str], cap: int, keys: list[str] = KEYS) -> DataFrame:

@@ -15,9 +15,11 @@ SLOT = [*KEYS, "template_id", "param_index"]
 
 
 def param_values(events: DataFrame, slots: int) -> DataFrame:
-    """(window, template_id, param_index, value, ordinal) of the first ``slots`` parameters."""
+    """(window, template_id, param_index, value, original, ordinal) of the first ``slots`` parameters."""
     rows = ordered(events)
-    return rows.select(*KEYS, "template_id", "ordinal", F.posexplode(F.slice("params", 1, slots)).alias("param_index", "value"))
+    both = F.arrays_zip(F.col("params").alias("value"), F.col("params_original" if "params_original" in rows.columns else "params").alias("original"))
+    flat = rows.select(*KEYS, "template_id", "ordinal", F.posexplode(F.slice(both, 1, slots)).alias("param_index", "x"))
+    return flat.select(*KEYS, "template_id", "param_index", "x.value", "x.original", "ordinal")
 
 
 def field_values(events: DataFrame, slots: int, values: int) -> DataFrame:
@@ -34,7 +36,9 @@ def field_histograms(events: DataFrame, slots: int, values: int, approximate: bo
         entropy_bits(F.when(F.col("admitted"), F.col("count")), F.col("_n")).alias("entropy_bits"))
     if not approximate:
         return kept
-    return kept.join(hll.cardinality(rows.select(*SLOT, "value"), SLOT, "value").withColumnRenamed("estimate", "cardinality"), SLOT)
+    # the sketch sees values as they came, before repair and caps
+    seen = hll.cardinality(param_values(events, slots).select(*SLOT, "original"), SLOT, "original")
+    return kept.join(seen.withColumnRenamed("estimate", "cardinality"), SLOT)
 
 
 def histogram_divergence(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,11 +66,9 @@ def ordinal_histograms(bins: DataFrame) -> DataFrame:
     return out.withColumn("counts", counts).drop("_m")
 
 
-def component_bins(bins: DataFrame, top: DataFrame) -> DataFrame:
-    """Duration counts by dominant component, over the templates of the top-k alone: (window, component, bin, n)."""
-    owner = top.where("component is not null").select(*KEYS, "template_id", F.col("component").alias("_c"))
-    own = bins.where(F.col("schedule") == DURATION_SCHEDULE).drop("component").join(owner, [*KEYS, "template_id"])
-    return own.groupBy(*KEYS, F.col("_c").alias("component"), "bin").agg(F.sum("n").alias("n"))
+def component_durations(bins: DataFrame) -> DataFrame:
+    """Duration counts by component: (window, component, bin, n). Other schedules' bins mean something else."""
+    return bins.where((F.col("schedule") == DURATION_SCHEDULE) & F.col("component").isNotNull()).groupBy(*KEYS, "component", "bin").agg(F.sum("n").alias("n"))
 
 
 def w1_shift(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import KEYS
+from ..sources.shared import materialise
 from .behavior import admitted
 from .order import ranked
 
@@ -12,10 +17,40 @@ from .order import ranked
 def active_spans(spans: DataFrame, cap: int) -> DataFrame:
     """(window, span_id, template_id, component): the ``cap`` span ids of a window that were inserted last; 0 keeps all.
 
-    An id seen again keeps its place and shows its last record."""
-    first = spans.groupBy(*KEYS, "span_id").agg(F.min("seq").alias("_first"), F.max_by(F.struct("template_id", "component"), "seq").alias("_x"))
-    kept = first if cap == 0 else ranked(first, "_r", [F.col("_first").desc()]).where(F.col("_r") <= cap)
-    return kept.select(*KEYS, "span_id", "_x.*")
+    An id seen again while it is held keeps its place and its first record; one that has been evicted enters anew. Only
+    windows over the cap in which ids come again are replayed, each as one sorted stream of which a task holds ``cap`` ids."""
+    first = spans.groupBy(*KEYS, "span_id").agg(F.min("seq").alias("_first"), F.min_by(F.struct("template_id", "component"), "seq").alias("_x"), F.count("*").alias("_n"))
+    if cap == 0:
+        return first.select(*KEYS, "span_id", "_x.*")
+    again = first.groupBy(*KEYS).agg(F.count("*").alias("_ids"), F.max("_n").alias("_most")).where((F.col("_ids") > cap) & (F.col("_most") > 1)).select(*KEYS)
+    again = materialise(again, "windows")
+    plain = ranked(first.join(again, KEYS, "left_anti"), "_r", [F.col("_first").desc()]).where(F.col("_r") <= cap).select(*KEYS, "span_id", "_x.*")
+    rows = spans.join(again, KEYS, "left_semi").select(*KEYS, "seq", "span_id", "template_id", "component")
+    ordered_rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    return plain.unionByName(ordered_rows.mapInArrow(lambda batches: _held(batches, cap), plain.schema))
+
+
+def _held(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """The ids that each window of a sorted stream holds at its end."""
+    window, held = None, OrderedDict()
+
+    def out() -> pa.RecordBatch:
+        rows = [(*window, i, *x) for i, x in held.items()]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*KEYS, "span_id", "template_id", "component"])
+
+    for batch in batches:
+        for source, w, _, span_id, template, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (source, w) != window:
+                if held:
+                    yield out()
+                window, held = (source, w), OrderedDict()
+            if span_id not in held:
+                if len(held) >= cap:
+                    held.popitem(last=False)
+                held[span_id] = (template, component)
+    if held:
+        yield out()
 
 
 def resolve(children: DataFrame, spans: DataFrame) -> DataFrame:

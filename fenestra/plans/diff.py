@@ -117,9 +117,9 @@ def reservoir_delta(previous: Documents, current: Documents) -> DataFrame:
 
 
 def latency_shifts(previous: Documents, current: Documents) -> DataFrame:
-    """Drift of each component's durations, over the top lists, where both sides have the floor of samples."""
-    side = lambda d: d.ordinals.where("component is not null").groupBy(*KEYS, "component", "bin").agg(F.sum("n").alias("n"))
-    drift = histograms.w1_shift(side(previous), side(current), [*KEYS, "component"])
+    """Drift of each component's durations, over the top lists, where both sides have the floor of samples. Ordinals of
+    other schedules take no part."""
+    drift = histograms.w1_shift(histograms.component_durations(previous.ordinals), histograms.component_durations(current.ordinals), [*KEYS, "component"])
     return drift.withColumn("latency_shift", shift_label(F.col("shift"), F.col("direction")))
 
 

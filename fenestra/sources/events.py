@@ -2,7 +2,8 @@
 
 A canonical event has source, window_id, seq (the order within a window), ts, template_str, template_id, level,
 declared_level, echoed_source, role, component (null: unlocated), params, ordinals, trace_id, is_span, span_id,
-parent_span_id and linked_span_ids.
+parent_span_id and linked_span_ids; params_original has the parameters as they came, which sketches hash, and text_cap the
+cap that component and params have been put under, null for none.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..config import KEYS, NONE, TERMINATOR
 from ..functions.text import cap_text, level_of, role_of, template_id, well_formed
+from .shared import materialise
 
 ORDINAL_TYPE = "array<struct<field_name:string,schedule:string,value:bigint>>"
 DEFAULTS = {
@@ -26,11 +28,19 @@ def canonical(rows: DataFrame, max_text_bytes: int | None = None) -> DataFrame:
     cols = {c: (F.col(c).cast(t) if c in rows.columns else F.lit(v).cast(t)) for c, (t, v) in DEFAULTS.items()}
     capped = (lambda c: cap_text(well_formed(c), max_text_bytes)) if max_text_bytes else well_formed
     cols["component"] = capped(F.nullif(cols["component"], F.lit("")))
+    cols |= {"params_original": cols["params"], "text_cap": F.lit(max_text_bytes).cast("int")}
     cols["params"] = F.transform(cols["params"], capped)
     cols |= {"seq": F.col("seq").cast("long"), "template_str": F.col("template_str"), "template_id": template_id(F.col("template_str"))}
     return rows.select(*[c.alias(k) for k, c in cols.items()])
 
 
+def under_cap(events: DataFrame, max_text_bytes: int) -> DataFrame:
+    """Canonical events with component and params under the cap; what is under it already stays."""
+    done = F.col("text_cap").eqNullSafe(F.lit(max_text_bytes)) if "text_cap" in events.columns else F.lit(False)
+    capped = lambda c: F.when(done, c).otherwise(cap_text(c, max_text_bytes))
+    return events.withColumns({"component": capped(F.col("component")), "params": F.transform("params", capped), "text_cap": F.lit(max_text_bytes).cast("int")})
+
+
 def driver_events(spark: SparkSession, sf_dir: str, window: str = "day", template: str = "coarse", component: str = "user", slow_half: bool = False) -> DataFrame:
     """The events table as canonical events. window: day, w10 or w15 (ten or fifteen days). template: coarse (type and k
     modulo 10), fine (type and k), type, or kmod (k modulo 10 alone). component: user (one in eight unlocated) or svc."""
@@ -72,9 +82,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical events of JSON lines {component, level, message, role?}; the order is the line's place in the file."""
+    """Canonical events of JSON lines {component, level, message, role?}; the order is the line's place in the file, of
+    several files that of their paths, however they are split."""
     rows = spark.read.schema("component string, level string, message string, role string").json(path)
-    placed = rows.withColumn("seq", F.monotonically_increasing_id())
+    split = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = materialise(rows.select("*", *split, F.monotonically_increasing_id().alias("_i")), "lines")
+    # lines of a split are numbered in order without gaps; splits are few
+    splits = rows.groupBy("_path", "_start").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_path", "_start", "_first", before.alias("_before"))
+    placed = rows.join(splits, ["_path", "_start"]).withColumn("seq", F.col("_before") + F.col("_i") - F.col("_first"))
     return canonical(placed.select("seq", F.col("message").alias("template_str"), level_of(F.col("level")).alias("level"), role_of(F.col("role")).alias("role"), "component"))
 
 
@@ -102,7 +119,7 @@ def admit(events: DataFrame, known: DataFrame, budget: int | None = None, predic
         new = new.where(predicate)
     first = new.groupBy("template_id").agg(F.min(F.struct("window_id", "seq")).alias("at"))
     if budget is not None:
-        first = first.withColumn("r", F.row_number().over(W.orderBy("at"))).where(F.col("r") <= budget)
+        first = first.orderBy("at").limit(budget)  # each task keeps its first ones, then the first of these
     return events.join(known.select("template_id").unionByName(first.select("template_id")), "template_id", "left_semi")
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a cluster that is an error, as
+    executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fenestra-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
