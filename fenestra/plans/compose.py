@@ -12,7 +12,7 @@ from ..functions.text import carry_equal, level_token, role_name
 from ..operators import churn, cube, histograms
 from ..operators.order import ranked
 from ..sources.shared import materialise
-from .documents import Documents
+from .documents import PROVENANCE, SOURCE, Documents, coordinate_wire, source_wire, window_wire
 
 GATES = ("canonicalization_version", "retention_profile")
 
@@ -24,6 +24,9 @@ def gates(l: DataFrame, r: DataFrame, operation: str) -> DataFrame:
     bad = F.when(~F.col("l.max_text_bytes").eqNullSafe(F.col("r.max_text_bytes")), F.lit(f"{operation}: max_text_bytes differ"))
     for g in GATES:
         bad = bad.when(F.col(f"l.{g}") != F.col(f"r.{g}"), F.lit(f"{operation}: {g} differ"))
+    for side in "lr":
+        start, end = F.col(f"{side}.start"), F.col(f"{side}.end")
+        bad = bad.when((start.isNull() != end.isNull()) | F.coalesce(end < start, F.lit(False)), F.lit(f"{operation}: malformed window bounds"))
     # the check must survive column pruning, so it guards the window id
     return pairs.withColumn("window_id", F.when(bad.isNull(), F.col("window_id")).otherwise(F.raise_error(bad).cast("long")))
 
@@ -64,6 +67,22 @@ def common_tags(a: Column, b: Column) -> Column:
     return F.map_filter(a, lambda k, v: F.element_at(b, k).eqNullSafe(v))
 
 
+def merged_source(a: Column, b: Column) -> Column:
+    """:func:`common_source` for headers' blocks, whose tags are sorted pairs."""
+    with_map = lambda x: F.struct(*[x[c].alias(c) for c in ("service", "fleet", "host_count", "host")], F.map_from_entries(x["tags"]).alias("tags"))
+    m = common_source(with_map(a), with_map(b), ["service", "fleet", "host"])
+    return F.struct(m["service"].alias("service"), m["fleet"].alias("fleet"), m["host_count"].alias("host_count"), m["host"].alias("host"), F.array_sort(F.map_entries(m["tags"])).alias("tags")).cast(SOURCE)
+
+
+def provenance_entry(side: str) -> Column:
+    """One input, as an entry of the result's provenance: by window start (none first), end, then the bytes of its
+    canonical JSON, whose members are in alphabetical order."""
+    c = lambda name: F.col(f"{side}.{name}")
+    start, end = window_wire(c("start"), c("end"))
+    wire = F.struct(coordinate_wire(c("coordinate"), F.lit(None).cast("string")).alias("coordinate"), c("lines").alias("lines_observed"), source_wire(c("source_block")).alias("source"), F.struct(end, start).alias("window"))
+    return F.struct(c("start").alias("start"), c("end").alias("end"), F.to_json(wire, {"ignoreNullFields": "true"}).alias("json"), c("source").alias("source"), c("source_block").alias("source_block"), c("lines").alias("lines"), c("coordinate").alias("coordinate"))
+
+
 def common_source(a: Column, b: Column, scalars: list[str], counts: str = "host_count", tags: str = "tags") -> Column:
     """Equal sources as they are; else equal scalars, summed host counts and common tags."""
     mixed = F.struct(*[carry_equal(a[s], b[s]).alias(s) for s in scalars], (a[counts] + b[counts]).alias(counts), common_tags(a[tags], b[tags]).alias(tags))
@@ -72,6 +91,10 @@ def common_source(a: Column, b: Column, scalars: list[str], counts: str = "host_
     return F.when(equal, same).otherwise(mixed)
 
 
+def _key(x: Column) -> Column:
+    return F.struct(x["start"], x["end"], x["json"])
+
+
 def _header(l: DataFrame, r: DataFrame) -> DataFrame:
     h = gates(l, r, "compose")
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -82,8 +105,9 @@ def _header(l: DataFrame, r: DataFrame) -> DataFrame:
     order = F.when(l_first, "l").when(r_first, "r").otherwise("none")
     span = F.when(order == "none", F.greatest(c("l", "span_windows"), c("r", "span_windows"))).otherwise(plus("span_windows"))
     ngram_size = F.when(c("l", "ngram_size").isNull(), c("r", "ngram_size")).when(c("r", "ngram_size").isNull() | (c("l", "ngram_size") == c("r", "ngram_size")), c("l", "ngram_size"))
-    entry = lambda s: F.array(F.struct(c(s, "start").alias("start"), c(s, "end").alias("end"), c(s, "source").alias("source")))
-    provenance = F.array_sort(F.concat(c("l", "provenance"), c("r", "provenance"), entry("l"), entry("r")))
+    given = F.concat(F.array(provenance_entry("l")), F.array(provenance_entry("r"))).cast(PROVENANCE)
+    in_order = lambda a, b: F.when(_key(a) < _key(b), -1).when(_key(a) > _key(b), 1).otherwise(0)
+    provenance = F.array_sort(F.concat(c("l", "provenance"), c("r", "provenance"), given), in_order)
     missing = ((c("l", "lines") > 0) & c("l", "coordinate").isNull()) | ((c("r", "lines") > 0) & c("r", "coordinate").isNull())
     leaves = F.array_sort(F.concat(F.coalesce(c("l", "coordinate"), F.array()), F.coalesce(c("r", "coordinate"), F.array())), lambda a, b: F.when(a["start_ticks"] < b["start_ticks"], -1).when(a["start_ticks"] > b["start_ticks"], 1).when(a["end_ticks"] < b["end_ticks"], -1).when(a["end_ticks"] > b["end_ticks"], 1).when(a["ref"] < b["ref"], -1).when(a["ref"] > b["ref"], 1).otherwise(0))
     return h.select(
@@ -91,7 +115,7 @@ def _header(l: DataFrame, r: DataFrame) -> DataFrame:
         ngram_size.alias("ngram_size"), least("top_ngrams_size").alias("top_ngrams_size"), plus("dropped_ngram_observations").alias("dropped_ngram_observations"), F.lit(None).cast("long").alias("graph_edge_count"),
         least("param_histograms_size").alias("param_histograms_size"), F.when(c("l", "param_histograms_size").isNotNull() | c("r", "param_histograms_size").isNotNull() | c("l", "value_counts_size").isNotNull() | c("r", "value_counts_size").isNotNull(), F.coalesce(least("value_counts_size"), F.lit(64))).alias("value_counts_size"),
         *[carry_equal(c("l", g), c("r", g)).alias(g) for g in (*GATES, "ruleset", "transport")], c("l", "max_text_bytes").alias("max_text_bytes"), F.lit(VERSION).alias("producer_version"), F.lit(None).cast("string").alias("source_ref"), F.lit(None).cast("string").alias("run_outcome"),
-        span.cast("int").alias("span_windows"), order.alias("_order"), plus("tail_count").alias("_residual"), F.when(~F.coalesce(missing, F.lit(False)), F.when(F.size(leaves) > 0, leaves)).alias("coordinate"), provenance.alias("provenance"),
+        span.cast("int").alias("span_windows"), order.alias("_order"), plus("tail_count").alias("_residual"), F.when(~F.coalesce(missing, F.lit(False)), F.when(F.size(leaves) > 0, leaves)).alias("coordinate"), provenance.alias("provenance"), merged_source(c("l", "source_block"), c("r", "source_block")).alias("source_block"),
         c("l", "span_windows").alias("_l_span"), c("r", "span_windows").alias("_r_span"), *[((c(s, "tail_count") == 0) & (c(s, "tail_unique") == 0)).alias(f"_{s}_all") for s in "lr"])
 
 

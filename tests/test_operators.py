@@ -190,3 +190,18 @@ def test_display_form(spark):
 
     frame = spark.createDataFrame([("a" * 100,), ("short",)], "t string").select(T.cap_text(F.col("t"), 64).alias("c"))
     assert [r[0] for r in frame.select(T.display_form(F.col("c"), 64)).collect()] == ["a" * 47 + "…", "short"]
+
+
+def test_span_ids_that_come_again(spark):
+    spans = [{"template_str": f"{i}-{k}", "is_span": True, "span_id": i} for k, i in enumerate([1, 2, 1, 3, 4, 1, 3])]
+    e = events(spark, spans).select("source", "window_id", "seq", "span_id", "template_id", F.col("template_str").alias("component"))
+    held = lambda cap: sorted((r["span_id"], r["component"]) for r in topology.active_spans(e, cap).collect())
+    assert held(0) == held(4) == [(1, "1-0"), (2, "2-1"), (3, "3-3"), (4, "4-4")]  # the first record stays
+    assert held(2) == [(1, "1-5"), (3, "3-6")]  # 1 and 3 were evicted and enter anew
+    assert held(3) == [(1, "1-5"), (3, "3-3"), (4, "4-4")]
+
+
+def test_no_bound_on_rings(spark):
+    rows = [{"template_str": f"t{i % 3}", "trace_id": i % 5} for i in range(40)]
+    free, bounded = (behavior.ngram_events(events(spark, rows), Config(max_active_traces=n)).count() for n in (0, 2))
+    assert free == 35 and bounded == 0
