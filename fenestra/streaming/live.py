@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import KEYS, Config
 from ..operators import stats
 from ..operators.order import with_ordinal
-from ..plans.documents import fingerprint, previous_ends, to_json
+from ..plans.documents import BLOCKS, fingerprint, previous_ends, to_json
 from ..sources.events import canonical, registry
 
 MARK = "step long, batch long, mark long, upto long, closed long"
@@ -47,8 +47,8 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 class LiveFingerprints:
     """The state tables of one stream, under ``path`` (a folder all executors share)."""
 
-    def __init__(self, spark: SparkSession, path: str, seconds: int, delay_seconds: int, config: Config = Config()):
-        self.spark, self.path, self.seconds, self.delay, self.config = spark, path.rstrip("/"), seconds, delay_seconds, config
+    def __init__(self, spark: SparkSession, path: str, seconds: int, delay_seconds: int, config: Config = Config(), blocks: frozenset[str] | set[str] = BLOCKS):
+        self.spark, self.path, self.seconds, self.delay, self.config, self.blocks = spark, path.rstrip("/"), seconds, delay_seconds, config, blocks
 
     def start(self, stream: DataFrame, **options: str) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.path}/checkpoint")
@@ -117,7 +117,7 @@ class LiveFingerprints:
         """Writes the documents of ``table``; ``before`` is the step that closed windows last."""
         if not table.limit(1).count():
             return False
-        docs = fingerprint(table, self.config)
+        docs = fingerprint(table, self.config, blocks=self.blocks)
         counts = self._write(stats.template_stats(with_ordinal(table)).select(*KEYS, "template_id", "count"), "counts", step)
         if docs.stability is not None:
             # the first window closed now is compared with the last one closed before

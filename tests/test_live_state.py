@@ -13,6 +13,7 @@ from fenestra.streaming.live import LiveFingerprints
 
 COLS = ["seq", "ts", "template_str", "level", "role", "component"]
 C = Config(top_k_size=4)
+BLOCKS = {"stability"}
 
 
 def stream_of(spark, rows):
@@ -25,12 +26,12 @@ def got(live):
 
 def want(spark, rows):
     e = events(spark, rows).withColumn("window_id", F.expr("unix_seconds(ts) div 60"))
-    return {r["window_id"]: json.loads(r["json"]) for r in to_json(fingerprint(e, C)).collect()}
+    return {r["window_id"]: json.loads(r["json"]) for r in to_json(fingerprint(e, C, blocks=BLOCKS)).collect()}
 
 
 def test_two_flushes_and_a_batch_between(spark, tmp_path):
     rows = lines("a b a", window_id=0) + lines("a c", window_id=1) + lines("d a", window_id=2)
-    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C)
+    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C, BLOCKS)
     e = stream_of(spark, rows)
     live.batch(e.where("seq < 5"), 0)
     live.flush()
@@ -44,7 +45,7 @@ def test_two_flushes_and_a_batch_between(spark, tmp_path):
 @pytest.mark.parametrize("lost", ["documents", "registry", "open", "marks"])
 def test_a_step_that_broke_off_runs_again(spark, tmp_path, monkeypatch, lost):
     rows = lines("a b a", window_id=0) + lines("a c", window_id=1) + lines("d a", window_id=2)
-    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C)
+    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C, BLOCKS)
     e = stream_of(spark, rows)
     live.batch(e.where("seq < 4"), 0)
     write = streaming.LiveFingerprints._write
@@ -65,9 +66,9 @@ def test_a_step_that_broke_off_runs_again(spark, tmp_path, monkeypatch, lost):
 
 
 def test_state_holds_open_windows_alone(spark, tmp_path):
-    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C)
-    for k in range(6):
+    live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C, BLOCKS)
+    for k in range(4):
         live.batch(stream_of(spark, lines("a b", window_id=k)), k)
         held = spark.read.parquet(str(tmp_path / "s" / "open")).count() + spark.read.parquet(str(tmp_path / "s" / "input")).count()
         assert held == 2
-    assert live.documents().count() == 5
+    assert live.documents().count() == 3
