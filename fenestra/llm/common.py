@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import materialise, shared_dir
 
-#: Rows in one Arrow batch: bounds a Python worker's memory where texts are long.
-ARROW_ROWS = 512
-__all__ = ["ARROW_ROWS", "materialise", "shared_dir", "small_batches", "table", "worker_state"]
+#: Rows and bytes of one Arrow batch at most (a single row may be larger): bounds a Python worker's memory.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+#: Row ids from here on stand for rows that their doc_id does not tell apart.
+SHARED_IDS = 1 << 62
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "SHARED_IDS", "by_row", "materialise", "shared_dir", "small_batches", "table", "worker_state"]
 T = TypeVar("T")
 
 
@@ -28,7 +30,33 @@ def worker_state(key: str, make: Callable[[], T], most: int = 1) -> T:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Sets the session's batch bounds, which Spark reads when a plan runs; a caller's smaller ones stay."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` over ``docs`` with an id for every row in place of doc_id, which comes back in what the stage keeps.
+
+    A doc_id of one row is that row's id. Rows without doc_id, or with one that other rows have too, get an id from
+    ``SHARED_IDS`` on by a hash of all their doc_id, lang, source and text, so equal rows share one and come after all
+    others."""
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1")
+    repeated = materialise(counted.select("_id"), "repeated")
+    name = "_doc_id"
+    while name in docs.columns:
+        name = f"_{name}"
+    hashed = F.lit(SHARED_IDS) + F.shiftrightunsigned(F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "lang", "source", "text")]), 2)
+    rows = docs.withColumn(name, F.col("doc_id"))
+    if repeated.limit(1).count():
+        seen = repeated.where("_id is not null").select("_id", F.lit(True).alias("_again"))
+        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").alias(name), F.col("doc_id").cast("long").alias("_key")).join(seen, F.col("_key") == F.col("_id"), "left")
+        rows = rows.withColumn("doc_id", F.when(F.col("_key").isNull() | F.coalesce("_again", F.lit(False)), hashed).otherwise(F.col("_key"))).drop(*[c for c in ("_key", "_id", "_again") if c not in docs.columns])
+    out = stage(rows)
+    return out.withColumn("doc_id", F.col(name)).select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

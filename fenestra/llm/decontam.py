@@ -10,8 +10,9 @@ blocks below the threshold are skipped. In the blocks left, WAND moves cursors o
 
 A retrieved item counts if the document covers its question and its answer: shares of their five-word shingles.
 
-The benchmark is read in blocks of ``ITEMS`` items at most, so the broadcast index has a bound; each block is one pass.
-Item count, document frequencies, mean length and passage length are those of the whole benchmark in every block.
+The benchmark is cut into indexes of ``ITEMS`` items, and up to ``PASS_ITEMS`` items are searched in one pass over the
+documents, which bounds the broadcast; a larger benchmark takes several passes. Item count, document frequencies, mean length
+and passage length are those of the whole benchmark in every index.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, small_batches, worker_state
 
-ITEMS, BLOCK, THRESHOLD, COVER = 1024, 4, 0.6, 0.5
+ITEMS, PASS_ITEMS, BLOCK, THRESHOLD, COVER = 1024, 16_384, 4, 0.6, 0.5
 K1, B, SHINGLE = 1.2, 0.75, 5
 _OTHER = re.compile(r"[\W_]+")
 
@@ -81,13 +83,35 @@ class Statistics:
         return cls(len(texts), sum(lengths) / max(1, len(lengths)), max(lengths, default=1), Counter(w for c in texts for w in c))
 
 
+@dataclass
+class Maxima:
+    """Each term's largest impact in each block that has it, by term."""
+
+    shape: tuple[int, int]
+    first: np.ndarray  # term -> its place in the next two
+    block: np.ndarray
+    impact: np.ndarray
+
+    @classmethod
+    def of(cls, postings: list[dict[int, list[tuple[int, float]]]], blocks: int) -> Maxima:
+        own = [(b, max(x for _, x in rows)) for p in postings for b, rows in sorted(p.items())]
+        first = np.concatenate(([0], np.cumsum([len(p) for p in postings], dtype=np.int64)))
+        return cls((len(postings), blocks), first, np.array([b for b, _ in own], dtype=np.int64), np.array([x for _, x in own], dtype=np.float64))
+
+    def sums(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """n rows x blocks: the maxima of the terms of each row, added up."""
+        width = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+        return np.bincount(np.repeat(rows, width) * self.shape[1] + self.block[at], weights=self.impact[at], minlength=n * self.shape[1]).reshape(n, self.shape[1])
+
+
 @dataclass
 class Index:
     items: list[int]
     parts: list[tuple[list[str], list[str]]]
     vocabulary: dict[str, int]
     postings: list[dict[int, list[tuple[int, float]]]]  # per term: block -> (item, impact) in item order
-    maxima: np.ndarray  # term x block
+    maxima: Maxima
     longest: int
 
     @classmethod
@@ -100,14 +124,13 @@ class Index:
         mean, df = whole.mean, whole.df
         vocabulary = {w: i for i, w in enumerate(sorted({w for c in texts for w in c}))}
         postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in vocabulary]
-        maxima = np.zeros((len(vocabulary), max(1, math.ceil(len(rows) / BLOCK))), dtype=np.float32)
         for d, (c, n) in enumerate(zip(texts, lengths, strict=True)):
             weight = {w: math.log(1 + (whole.items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
             total = sum(weight.values())
             for w, x in weight.items():
                 t = vocabulary[w]
                 postings[t].setdefault(d // BLOCK, []).append((d, x / total))
-                maxima[t, d // BLOCK] = max(maxima[t, d // BLOCK], x / total)
+        maxima = Maxima.of(postings, max(1, math.ceil(len(rows) / BLOCK)))
         return cls([i for i, _ in rows], [question_answer(t) for _, t in rows], vocabulary, postings, maxima, whole.longest)
 
     def search(self, query: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -158,16 +181,14 @@ def passages(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
         return
     own = np.unique(np.concatenate(keys))
     chunk, code = own // width, own % width
-    starts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
-    bound = np.zeros((base + 1, index.maxima.shape[1]), dtype=np.float32)
-    bound[chunk[starts]] = np.add.reduceat(index.maxima[code], starts, axis=0)
+    bound = index.maxima.sums(chunk, code, base + 1)
     pairs = bound[:-1] + bound[1:]
     first = np.searchsorted(chunk, np.arange(base + 2))
     for k in np.flatnonzero((pairs >= threshold - 1e-4).any(axis=1)).tolist():
         if k + 1 < base and owner[k + 1] != owner[k]:
             continue
         query = np.unique(code[first[k] : first[k + 2]])
-        exact = index.maxima[query].sum(axis=0)
+        exact = index.maxima.sums(np.zeros(len(query), dtype=np.int64), query, 1)[0]
         blocks = np.flatnonzero(exact >= threshold - 1e-4).tolist()
         if blocks:
             yield owner[k], query.tolist(), blocks
@@ -216,15 +237,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
     Null and empty texts, on either side, hold nothing and are held by nothing; so do texts without letters or digits.
     Rows without doc_id or item_id are left out. Items with equal texts are each reported; repeated rows give one row.
-    Empty tables give no rows. Other columns are not read.
+    Very long texts are searched whole. Empty tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    pass_indexes = max(1, PASS_ITEMS // items)
     schema = "doc_id long, item_id long, score double, question_cover double, answer_cover double"
     out = spark.createDataFrame([], schema)
     whole = _statistics(benchmark, items)
-    for rows in _blocks_of(benchmark, items):
-        shared = spark.sparkContext.broadcast(Index.build(rows, whole(rows)))
+    todo = _blocks_of(benchmark, items)
+    while blocks := list(islice(todo, pass_indexes)):
+        shared = spark.sparkContext.broadcast([Index.build(rows, whole(rows)) for rows in blocks])
         token = f"terms {uuid.uuid4().hex}"
         out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_searcher(shared, token, threshold, cover), schema))
     best = F.max(F.struct("score", "question_cover", "answer_cover"))
@@ -233,12 +256,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        known: dict[str, int] = worker_state(token, dict)
-        get = index.vocabulary.get
+        indexes: list[Index] = shared.value
+        # a term's number in each index, -1 for none; words without letters or digits have none
+        numbers: dict[str, tuple[int, ...]] = worker_state(f"numbers {token}", lambda: _numbers(indexes), 2)
+        known: dict[str, tuple[int, ...]] = worker_state(token, dict, 2)
+        nowhere, none = (-1,) * len(indexes), (-2,) * len(indexes)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            codes = []
+            codes: list[list[np.ndarray]] = [[] for _ in indexes]
             for text in texts:
                 words = (text or "").split()
                 try:
@@ -248,21 +273,24 @@ def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 30
                     if len(known) + len(missing) > keep:
                         known.clear()
                         missing = set(words)
-                    known.update((w, get(t, -1) if (t := term(w)) else -2) for w in missing)
+                    known.update((w, numbers.get(t, nowhere) if (t := term(w)) else none) for w in missing)
                     got = list(map(known.__getitem__, words))
-                got = np.array(got, dtype=np.int64)
-                codes.append(got[got > -2])
-            hits: dict[int, dict[int, float]] = defaultdict(dict)
-            for i, query, blocks in passages(index, codes, threshold):
-                for d, score in index.search(query, blocks, threshold):
-                    hits[i][d] = max(score, hits[i].get(d, 0.0))
+                table = np.array(got, dtype=np.int32).reshape(-1, len(indexes))
+                table = table[table[:, 0] > -2]
+                for k, own in enumerate(codes):
+                    own.append(table[:, k])
+            hits: dict[int, dict[tuple[int, int], float]] = defaultdict(dict)
+            for k, index in enumerate(indexes):
+                for i, query, blocks in passages(index, codes[k], threshold):
+                    for d, score in index.search(query, blocks, threshold):
+                        hits[i][k, d] = max(score, hits[i].get((k, d), 0.0))
             out = []
             for i, found in hits.items():
                 words, sets = terms(texts[i]), {}
-                for d, score in found.items():
-                    q, a = (coverage(p, words, sets) for p in index.parts[d])
+                for (k, d), score in found.items():
+                    q, a = (coverage(p, words, sets) for p in indexes[k].parts[d])
                     if q >= cover and a >= cover:
-                        out.append((ids[i], index.items[d], score, q, a))
+                        out.append((ids[i], indexes[k].items[d], score, q, a))
             cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "question_cover", "answer_cover"])
@@ -270,7 +298,12 @@ def _searcher(shared, token: str, threshold: float, cover: float, keep: int = 30
     return run
 
 
+def _numbers(indexes: list[Index]) -> dict[str, tuple[int, ...]]:
+    every = {t for index in indexes for t in index.vocabulary}
+    return {t: tuple(index.vocabulary.get(t, -1) for index in indexes) for t in every}
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold an item of the benchmark (all rows of their doc_id)."""
+    """``docs`` without those that hold an item of the benchmark: all rows of their doc_id; rows without one stay."""
     gone = materialise(contamination(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

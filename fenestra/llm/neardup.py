@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches, worker_state
+from .common import SHARED_IDS, by_row, materialise, small_batches, worker_state
 
 BANDS, ROWS, SKETCH_BITS, SHINGLE = 32, 4, 512, 5
 #: Similarity from which the filter links documents.
@@ -288,6 +288,13 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_duplicate_filter(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id (all rows of that doc_id)."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialise(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id. Rows without doc_id, and rows
+    that share one, are told apart by their texts and come last; of equal rows one stays. Texts without words stay."""
+
+    def one_of_each(rows: DataFrame) -> DataFrame:
+        gone = near_duplicates(rows, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+        left = rows.join(materialise(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+        shared = F.coalesce(F.col("doc_id") >= SHARED_IDS, F.lit(False)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        return left.where(~shared).unionByName(left.where(shared).dropDuplicates(["doc_id"]))
+
+    return by_row(docs, one_of_each)

@@ -54,9 +54,10 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
 def pack(pieces: DataFrame, context: int = 2048, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (doc_id, start, length <= context, and any other columns).
 
-    Pieces are dealt at random (a hash of doc_id and start) to groups of about ``group_pieces``; each group is packed
-    alone, and its sequences lie gaplessly from offset 0. Ties in length go by doc_id, then start; repeated rows each
-    get their own place. A null doc_id is packed like any other. An empty table gives no rows.
+    Pieces are dealt at random (a hash of doc_id, start and the row's place in its file) to groups of about
+    ``group_pieces``, so that rows without doc_id, or of one doc_id, are spread too; each group is packed alone, and its
+    sequences lie gaplessly from offset 0. Ties in length go by doc_id, then start; repeated rows each get their own place.
+    A null doc_id is packed like any other. An empty table gives no rows. Columns of other names come back as they are.
     """
     pieces = materialise(pieces, "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
@@ -69,7 +70,7 @@ def pack(pieces: DataFrame, context: int = 2048, group_pieces: int = GROUP_PIECE
         return pdf[names].assign(sequence_id=first + placed[:, 0], offset=placed[:, 1])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    group = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", F.col("_metadata.row_index"), F.lit(seed)), F.lit(groups))
     return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(one, schema)
 
 

@@ -39,6 +39,18 @@ class WordEncoder:
 
         self.tok, self.value, self.limit, self.cache = Tokenizer.from_file(path), value, cache_words, {}
         self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
+        self._try_out()
+
+    def _try_out(self) -> None:
+        """Checks on probes that this tokenizer has the properties that word-wise encoding takes for granted; one that lacks
+        the first encodes whole texts, one that lacks the second every word as it is spelled."""
+        one = lambda t: self._ids([t])[0]
+        pairs = [("Abc", "def"), ("x.", "Y,"), ("été", "Übung"), ("12", "a-b"), ("日本", "語")]
+        texts = [f"{a}{gap}{b}" for a, b in pairs for gap in (" ", "  ", "\n")] + [f" {MARK} "]
+        joined = [one(a) + one(b) for a, b in pairs for _ in range(3)] + [one(MARK)]
+        self.by_words = len(one(MARK)) == 4 and all(one(t) == j for t, j in zip(texts, joined, strict=True))
+        cased = ["Word", "WORDS", "Été", "ÜBUNG", "Ñandú", "McDonald", "ÀÖÞ"]
+        self.folds = self.by_words and all(one(w + m) == one(w.lower()) + (one(m) if m else b"") for w in cased for m in ("", ".", ","))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,7 +72,7 @@ class WordEncoder:
 
     def words(self, text: str) -> list:
         """The values of the text's words, in order."""
-        if "<|" in text:
+        if "<|" in text or not self.by_words:
             return [self.value(self._ids([text])[0])]
         words = text.replace("\n", " ").split(" ")
         try:
@@ -80,7 +92,7 @@ class WordEncoder:
         for w in missing:
             low = w.lower()
             base, mark = (low[:-1], low[-1]) if low[-1:] in (".", ",") else (low, "")
-            if base != w and base.isalpha() and (base.isascii() or max(base) <= "ÿ") and (w.isascii() or max(w) <= "ÿ"):
+            if self.folds and base != w and base.isalpha() and (base.isascii() or max(base) <= "ÿ") and (w.isascii() or max(w) <= "ÿ"):
                 derived.append((w, base, mark))
                 if base not in cache:
                     encode.add(base)
