@@ -10,7 +10,7 @@ from ..functions.stats import novelty_band
 from ..operators import behavior, churn, cube, histograms, reservoir, stats, topology
 from ..sources import events as src
 from . import compose, diff
-from .documents import BLOCKS, fingerprint, to_json
+from .documents import BLOCKS, fingerprint
 
 RETENTION = Config(top_k_size=16, reservoir_size=16, reservoir_error_reserve=4, reservoir_per_kind_cap=4)
 
@@ -283,14 +283,6 @@ def diff_ngrams(spark, d):
     return x.select("state", F.array_join("ids", ">").alias("sequence"), r6("previous_probability").alias("previous_probability"), r6("current_probability").alias("current_probability"))
 
 
-def diff_json(spark, d):
-    return diff.to_json(diff.diff(*_documents(spark, d, Config(top_k_size=16, reservoir_size=16, max_param_histograms=2))))
-
-
-def document_json(spark, d):
-    return to_json(fingerprint(src.driver_events(spark, d, window="w10", component="svc"), Config(top_k_size=16, reservoir_size=16, max_param_histograms=2, source_ref="events")))
-
-
 def cube_latency_border(spark, d):
     c = diff.cube_diff(*_documents(spark, d, Config(max_param_histograms=2), {"cube", "histograms"}))
     return c.select("direction", "side", F.col("level").cast("long").alias("level"), "component", F.col("role").cast("long").alias("role"), "latency_shift", "count")

@@ -42,7 +42,7 @@ def test_two_flushes_and_a_batch_between(spark, tmp_path):
     assert live.registry().count() == 4 and live.stability().count() == 2
 
 
-@pytest.mark.parametrize("lost", ["documents", "registry", "open", "marks"])
+@pytest.mark.parametrize("lost", ["registry", "marks"])
 def test_a_step_that_broke_off_runs_again(spark, tmp_path, monkeypatch, lost):
     rows = lines("a b a", window_id=0) + lines("a c", window_id=1) + lines("d a", window_id=2)
     live = LiveFingerprints(spark, str(tmp_path / "s"), 60, 0, C, BLOCKS)

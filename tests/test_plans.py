@@ -39,8 +39,12 @@ def test_diff_and_outcome(docs):
     d = diff.diff(*pair(docs))
     o = diff.outcome(d).first()
     assert o["comparison_outcome"] == "changed" and o["withheld_signals"] == []
-    r = json.loads(diff.to_json(d).first()["json"])
-    assert {x["template_id"] for x in r["template_deltas"]} and r["comparison_outcome"] == "changed"
+    r = json.loads(diff.to_json(d, vendor="x.").first()["json"])
+    assert r["comparison_outcome"] == "changed" and r["previous"]["window"]["end"] < r["current"]["window"]["start"]
+    assert len(r["new_templates"]) == 1 and r["tail_delta"]["tail_template_count_delta"] == r["tail_delta"]["current_tail_template_count"] - r["tail_delta"]["previous_tail_template_count"]
+    crossed = {(x["coord"].get("level"), x["previous_count"] > 0, x["current_count"] > 0) for s in ("emerging", "vanishing") for x in r["cube_diff"][s]["lower"]}
+    assert ("FATAL", False, True) in crossed and ("ERROR", True, False) in crossed and [a["name"] for a in r["cube_diff"]["axes"]] == ["level", "where", "structural_role"]
+    assert r["max_text_bytes"] == 64 and "incomparable_signals" not in r
     same = diff.outcome(diff.diff(pair(docs)[0], pair(docs)[0])).first()
     assert same["comparison_outcome"] == "unchanged" and same["witnesses"] == []
 
@@ -121,7 +125,7 @@ def test_spans_sources_and_outcomes_on_the_wire(spark):
 def test_text_cap_is_kept_as_declared(spark):
     long = ["p" * 70 + str(i % 2) for i in range(6)]
     rows = [{"template_str": "t", "component": "c" * 90, "params": [long[i]]} for i in range(6)]
-    (d,) = [json.loads(r["json"]) for r in to_json(fingerprint(events(spark, rows), Config(max_param_histograms=1))).collect()]
+    (d,) = [json.loads(r["json"]) for r in to_json(fingerprint(events(spark, rows), Config(max_param_histograms=1), blocks={"histograms"})).collect()]
     entry = d["stats"]["top_k"][0]
     counts = entry["param_histograms"][0]["value_counts"]
     assert d["max_text_bytes"] == 64 and len(entry["component"]) == 64 and entry["component"][47] == "~"
