@@ -44,17 +44,18 @@ def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFram
     A doc_id of one row is that row's id. Rows without doc_id, or with one that other rows have too, get an id from
     ``SHARED_IDS`` on by a hash of all their doc_id, lang, source and text, so equal rows share one and come after all
     others."""
-    counted = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1")
-    repeated = materialise(counted.select("_id"), "repeated")
-    name = "_doc_id"
-    while name in docs.columns:
-        name = f"_{name}"
+    prefix = "_"
+    while any(c.startswith(f"{prefix}row_") for c in docs.columns):
+        prefix += "_"
+    name, key, known, again = (f"{prefix}row_{x}" for x in ("doc_id", "key", "known", "again"))
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias(known)).agg(F.count("*").alias(again)).where(f"{known} is null or {again} > 1")
+    repeated = materialise(counted.select(known), "repeated")
     hashed = F.lit(SHARED_IDS) + F.shiftrightunsigned(F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "lang", "source", "text")]), 2)
     rows = docs.withColumn(name, F.col("doc_id"))
     if repeated.limit(1).count():
-        seen = repeated.where("_id is not null").select("_id", F.lit(True).alias("_again"))
-        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").alias(name), F.col("doc_id").cast("long").alias("_key")).join(seen, F.col("_key") == F.col("_id"), "left")
-        rows = rows.withColumn("doc_id", F.when(F.col("_key").isNull() | F.coalesce("_again", F.lit(False)), hashed).otherwise(F.col("_key"))).drop(*[c for c in ("_key", "_id", "_again") if c not in docs.columns])
+        seen = repeated.where(F.col(known).isNotNull()).select(known, F.lit(True).alias(again))
+        rows = rows.withColumn(key, F.col("doc_id").cast("long")).join(seen, F.col(key) == F.col(known), "left")
+        rows = rows.withColumn("doc_id", F.when(F.col(key).isNull() | F.coalesce(again, F.lit(False)), hashed).otherwise(F.col(key))).drop(key, known, again)
     out = stage(rows)
     return out.withColumn("doc_id", F.col(name)).select(*docs.columns)
 
