@@ -243,8 +243,12 @@ def score(docs: DataFrame, model: KneserNey, keep_words: int = 300_000, key: F.C
 def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, least: float = LEAST_BITS) -> DataFrame:
     """(lang, low, high): each language's band of bits, from the quartiles of its texts (to 1/1000 bit; a bounded histogram)."""
     hist = scored.where("bits is not null").groupBy("lang", F.round("bits", 3).alias("b")).count()
-    up = W.partitionBy("lang").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    cum = hist.select("lang", "b", F.sum("count").over(up).alias("c"), F.sum("count").over(W.partitionBy("lang")).alias("n"))
+    hist = hist.withColumn("part", F.floor("b"))  # sums run within whole bits, then over these
+    parts = hist.groupBy("lang", "part").agg(F.sum("count").alias("pn"))
+    before = F.coalesce(F.sum("pn").over(W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("lang", "part", before.alias("p0"), F.sum("pn").over(W.partitionBy("lang")).alias("n"))
+    up = W.partitionBy("lang", "part").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    cum = hist.withColumn("c", F.sum("count").over(up)).join(parts, ["lang", "part"]).select("lang", "b", (F.col("p0") + F.col("c")).alias("c"), "n")
     q = lambda p: F.min(F.when(F.col("c") >= F.col("n") * p, F.col("b")))
     quart = cum.groupBy("lang").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")

@@ -200,9 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # bounded by sample_rows (in expectation; ids and marks only)
+    # a table of ids and marks: Spark sees its size and broadcasts it only where it is small
+    chosen = materialise(chosen, "marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
+    sample = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
     sample = materialise(sample, "sample")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
