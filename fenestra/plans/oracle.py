@@ -201,13 +201,13 @@ def oracle_sql() -> dict[str, str]:
     out["stability_kl_js"] = stability() + f" SELECT win AS window_id, {r6('kl')} AS kl_divergence, {r6('js')} AS js_divergence, {r6('1 - js')} AS stability_score FROM x"
     out["window_spine"] = ev() + " SELECT unnest(range(min(win), max(win) + 1)) AS window_id FROM ev"
     out["ngram_bigrams"] = top_grams(2)
-    out["ngram_trigrams"] = top_grams(3, 1 << 30, window="w10")
+    out["ngram_trigrams"] = top_grams(3, window="w10")
     out["ngram_trace_scoped"] = top_grams(2, 1 << 30, "usr", window="w10", template="type")
     out["ngram_key_cap_dropped"] = grams(2, window="w10", template="fine") + " SELECT win AS window_id, count(*) FILTER (seen <= 200) AS admitted_keys, CAST(coalesce(sum(n) FILTER (seen > 200), 0) AS BIGINT) AS dropped_ngram_observations FROM k1 GROUP BY win"
     out["graph_edges"] = edges() + " SELECT win AS window_id, a AS from_id, b AS to_id, n AS count, outgoing FROM e"
     branch = f", bb AS (SELECT win, a, count(*) AS fanout, max(outgoing) AS total, {H('n', 'outgoing')} AS h FROM e GROUP BY win, a), br AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY round(h, 12) DESC, total DESC, a) AS rk FROM bb) SELECT win AS window_id, a AS template_id, fanout, total, {r6('h')} AS entropy_bits FROM br WHERE rk <= 64"
     out["branching_entropy"] = edges() + branch
-    out["branching_trigram"] = edges(3, 1 << 30) + branch
+    out["branching_trigram"] = edges(3) + branch
     path = edges() + ",\npos AS" + counts(window="w10").split("),\npos AS", 1)[1]
     out["dominant_path"] = path.replace("WITH raw", "WITH RECURSIVE raw", 1) + """,
 nx AS (SELECT win, a, b FROM (SELECT e.*, row_number() OVER (PARTITION BY e.win, a ORDER BY e.n DESC, c.iid) AS r FROM e JOIN cnt c ON c.win = e.win AND c.tid = e.b) WHERE r = 1),

@@ -90,7 +90,7 @@ def ngram_bigrams(spark, d):
 
 
 def ngram_trigrams(spark, d):
-    return _ngrams(spark, d, Config(ngram_size=3, trace_scoping_enabled=False, max_ngram_keys=1 << 30), window="w10")
+    return _ngrams(spark, d, Config(ngram_size=3, trace_scoping_enabled=False), window="w10")
 
 
 def ngram_trace_scoped(spark, d):
@@ -112,7 +112,7 @@ def branching_entropy(spark, d):
 
 
 def branching_trigram(spark, d):
-    b = behavior.branching(_edges(spark, d, config=Config(ngram_size=3, trace_scoping_enabled=False, max_ngram_keys=1 << 30)), 64)
+    b = behavior.branching(_edges(spark, d, config=Config(ngram_size=3, trace_scoping_enabled=False)), 64)
     return b.select("window_id", "template_id", "fanout", "total", r6("entropy_bits").alias("entropy_bits"))
 
 
