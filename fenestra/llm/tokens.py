@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import small_batches, worker_state
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; beyond that the cache starts anew.
+#: Words in one generation of a worker's cache; beyond that a new one starts, and takes over what it meets of the last one.
 CACHE_WORDS = 600_000
 #: A character that the tokenizer gives one id, which no other text has.
 MARK = "\x01"
@@ -37,7 +37,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.value, self.limit, self.cache = Tokenizer.from_file(path), value, cache_words, {}
+        self.tok, self.value, self.limit, self.cache, self.old = Tokenizer.from_file(path), value, cache_words, {}, {}
         self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
         self._try_out()
 
@@ -80,21 +80,25 @@ class WordEncoder:
         except KeyError:
             missing = set(words).difference(self.cache)
             if len(self.cache) + len(missing) > self.limit:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
                 missing = set(words)
-            self._fill(missing)
+            known = missing & self.old.keys()
+            self.cache.update((w, self.old[w]) for w in known)
+            self._fill(missing - known)
             return list(map(self.cache.__getitem__, words))
 
     def _fill(self, missing: set[str]) -> None:
         """Encodes words the cache lacks. Letters of Latin-1, with one full stop or comma at most, are known by their lower
         case and the mark apart, as the tokenizer folds case and never merges letters with marks."""
-        cache, encode, derived = self.cache, set(), []
+        cache, old, encode, derived = self.cache, self.old, set(), []
         for w in missing:
             low = w.lower()
             base, mark = (low[:-1], low[-1]) if low[-1:] in (".", ",") else (low, "")
             if self.folds and base != w and base.isalpha() and (base.isascii() or max(base) <= "ÿ") and (w.isascii() or max(w) <= "ÿ"):
                 derived.append((w, base, mark))
-                if base not in cache:
+                if base in old:
+                    cache[base] = old[base]
+                elif base not in cache:
                     encode.add(base)
             else:
                 encode.add(w)
