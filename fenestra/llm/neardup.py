@@ -32,8 +32,8 @@ THRESHOLD = 0.8
 BLOCK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 _STEP = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 
 
@@ -75,11 +75,13 @@ class Shingler:
         return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
-    out = np.empty(len(_MUL), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(len(_MUL)):
-            out[i] = (s * _MUL[i] + _ADD[i]).min()
+def minhash(s: np.ndarray, step: int = 512) -> np.ndarray:
+    """The samples of a set that is not empty, ``step`` shingles at a time: a block of all samples fits a core's cache."""
+    out = np.full(len(_MUL), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(s), step):
+        block = _MUL * s[i : i + step]
+        block += _ADD
+        np.minimum(out, block.min(axis=1), out=out)
     return out
 
 
