@@ -231,7 +231,7 @@ def _links_between(t: pa.Table, limit: int, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cross_links(buckets: DataFrame, sets: DataFrame, limit: int, threshold: Fraction) -> DataFrame:
+def _cross_links(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, limit: int, threshold: Fraction) -> DataFrame:
     """Links that the comparisons with each bucket's smallest member have not shown: (a, b).
 
     Buckets in which several components meet are joined, by shared members, to larger groups, so that a pair is looked at
@@ -242,8 +242,8 @@ def _cross_links(buckets: DataFrame, sets: DataFrame, limit: int, threshold: Fra
     groups = components(rows.select(F.col("a").alias("node")).distinct(), rows.select("a", F.col("m").alias("b")))
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
     dealt = groups.join(sizes, "component").select(F.col("node").alias("a"), F.col("component").alias("group"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    own = buckets.groupBy("a").agg(F.min("component").alias("component"), F.min_by("sketch", "band").alias("sketch"), F.collect_list("k").alias("ks"), F.collect_list("band").alias("bands"))
-    full = dealt.join(own, "a").join(sets.select(F.col("doc_id").alias("a"), "s"), "a")
+    own = buckets.groupBy("a").agg(F.min("component").alias("component"), F.collect_list("k").alias("ks"), F.collect_list("band").alias("bands"))
+    full = dealt.join(own, "a").join(sketches, "a").join(sets.select(F.col("doc_id").alias("a"), "s"), "a")
     # block i meets every block j: its rows go to the tasks (min(i, j), max(i, j))
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other", "parts")
     num, den = threshold.numerator, threshold.denominator
@@ -265,18 +265,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("a"))
     heads = named.join(classes, "set_hash")
     members = heads.select("doc_id", "a").distinct()
-    first = heads.where("doc_id = a").dropDuplicates(["set_hash"]).select("a", F.posexplode("bands").alias("k", "band"), "sketch")
-    buckets = materialise(first, "bands")
-    stars = buckets.groupBy("band").agg(F.min_by("sketch", "a").alias("ms"), F.min("a").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m", "ms")
+    # bands travel without sketches, which are looked up for what shares a band
+    buckets = materialise(heads.where("doc_id = a").dropDuplicates(["set_hash"]).select("a", F.posexplode("bands").alias("k", "band")), "bands")
+    stars = buckets.groupBy("band").agg(F.min("a").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m")
     shared = materialise(buckets.join(stars, "band"), "shared")
-    near = shared.where("a != m").where(_xor_bits("sketch", "ms") <= limit)
-    pairs = near.select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
-    sets = materialise(_sets_of(docs, shared.select(F.col("a").alias("_id")).distinct()), "sets")
+    met = shared.select("a").distinct()
+    sketches = materialise(named.select(F.col("doc_id").alias("a"), "sketch").join(met, "a", "left_semi").distinct(), "sketches")
+    # a document has at most BANDS rows on either side of a join by id; only the join by band may be skewed, and can be split
+    least = shared.where("a = m").select("a", "band").join(sketches, "a").select("band", F.col("sketch").alias("ms"))
+    near = shared.where("a != m").select("a", "m", "band").join(sketches, "a").join(least, "band")
+    pairs = near.where(_xor_bits("sketch", "ms") <= limit).select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    sets = materialise(_sets_of(docs, met.withColumnRenamed("a", "_id")), "sets")
     links = materialise(_confirm(pairs, sets, exact), "links")
     same = members.where("doc_id != a").select(F.col("doc_id").alias("b"), "a")
     found = materialise(components(shared.select(F.col("a").alias("node")).distinct(), links), "components")
-    labelled = materialise(shared.join(found.withColumnRenamed("node", "a"), "a").select("a", "k", "band", "sketch", "component"), "labelled")
-    links = materialise(links.unionByName(_cross_links(labelled, sets, limit, exact)), "links")
+    labelled = materialise(shared.join(found.withColumnRenamed("node", "a"), "a").select("a", "k", "band", "component"), "labelled")
+    links = materialise(links.unionByName(_cross_links(labelled, sketches, sets, limit, exact)), "links")
     every = components(members.select(F.col("doc_id").alias("node")).distinct(), links.union(same.select("a", "b")))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     per = materialise(every.join(counts, "node", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
