@@ -42,18 +42,57 @@ def coarsen(joint: DataFrame, band: Column, depth: Column, keys: list[str] = KEY
     return joint.select(*keys, level.alias("level"), F.when(depth > 0, F.col("component")).alias("component"), "role", "count").groupBy(*keys, *DIMS).agg(F.sum("count").alias("count"))
 
 
+def _bit() -> Column:
+    """A level and a role as one of 64 bits: eight for each level, the eighth of each kind for an absent value."""
+    place = lambda d: F.when(F.col(d).isNull(), 7).when(F.col(d).between(0, 6), F.col(d)).otherwise(F.raise_error(F.concat(F.lit(f"cube: no {d} "), F.col(d).cast("string"))).cast("int")).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place("level") * 8 + place("role"))
+
+
+def _closed_of(bits: Column, band: int) -> Column:
+    """Closed cells that name one component, from the bits of its levels and roles, with levels below ``band`` folded."""
+    by_level = [F.shiftrightunsigned(bits, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)]
+    *named, absent = [reduce(lambda a, b: a.bitwiseOR(b), by_level[: max(1, band)]), *by_level[max(1, band) :]]
+    present, several = (lambda x: F.bit_count(x.bitwiseAND(F.lit(127).cast("long")))), (lambda x: (F.bit_count(x) > 1) | (x > 127))
+    once, twice = named[0], F.lit(0).cast("long")
+    for x in named[1:]:
+        once, twice = once.bitwiseOR(x), twice.bitwiseOR(once.bitwiseAND(x))
+    once, twice = once.bitwiseOR(absent), twice.bitwiseOR(absent)
+    add = lambda cols: reduce(lambda a, b: a + b, cols)
+    levels = add([(x > 0).cast("int") for x in named])
+    return add([present(x) for x in named]) + add([several(x).cast("int") for x in named]) + present(twice) + (((levels > 1) | (absent > 0)) & several(once)).cast("int")
+
+
+def _state_counts(joint: DataFrame, options: list[tuple[int, int]]) -> DataFrame:
+    """(window, _b, _d, n): closed cells of each window at each coarsening.
+
+    Cells that name a component need its levels and roles alone, which are bits of one number; components with the same
+    bits count together. For the others two components of a level and role tell whether there is a single one."""
+    per = joint.groupBy(*KEYS, "component").agg(F.bit_or(_bit()).alias("_bits"))
+    alike = per.groupBy(*KEYS, F.col("component").isNotNull().alias("_located"), "_bits").agg(F.count("*").alias("_n"))
+    bands = sorted({b for b, _ in options})
+    named = alike.where("_located").groupBy(*KEYS).agg(*[F.sum(F.col("_n") * _closed_of(F.col("_bits"), b)).alias(f"_n{b}") for b in bands])
+    named = named.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(b).alias("_b"), F.lit(1).alias("_d"), F.col(f"_n{b}").alias("n")) for b in bands])).alias("x")).select(*KEYS, "x.*")
+    held = F.expr("filter(sequence(0, 63), i -> getbit(_bits, i) = 1)")
+    pairs = alike.select(*KEYS, "_located", "_bits", "_n", F.explode(held).alias("_i")).groupBy(*KEYS, "_i").agg(
+        F.min(F.when(F.col("_located"), F.col("_bits"))).alias("_lo"), F.max(F.when(F.col("_located"), F.col("_bits"))).alias("_hi"), F.max(F.col("_located") & (F.col("_n") > 1)).alias("_more"), F.max(~F.col("_located")).alias("_unlocated"))
+    value = lambda i: F.when(i != 7, i).cast("int")
+    stand_in = F.array_distinct(F.array_compact(F.array(F.col("_lo").cast("string"), F.col("_hi").cast("string"), F.when(F.col("_more"), F.lit("more")))))
+    stand_in = F.concat(stand_in, F.when(F.col("_unlocated"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    small = pairs.select(*KEYS, value(F.expr("_i div 8")).alias("level"), value(F.expr("_i % 8")).alias("role"), F.lit(1).cast("long").alias("count"), F.explode(stand_in).alias("component"))
+    trial = small.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(d).alias("d")) for b, d in options])))
+    keyed = trial.select(*KEYS, F.col("_s.b").alias("_b"), F.col("_s.d").alias("_d"), *DIMS, "count")
+    keys = [*KEYS, "_b", "_d"]
+    rest = closed(coarsen(keyed, F.col("_b"), F.col("_d"), keys), keys).where((F.col("pinned").bitwiseAND(1 << DIMS.index("component"))) == 0)
+    return named.unionByName(rest.groupBy(*keys).agg(F.count("*").alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def collapse_states(joint: DataFrame, budget: int = CUBE_BUDGET) -> DataFrame:
     """(window, band_floor, floor_depth): each window's coarsening that keeps its closed cells within ``budget``.
 
-    Only windows over the budget go further: their eight states are counted in one pass over their joint, and the search
-    for the best step (cells saved over cost, a level band before dropping components on a tie) runs on these counts."""
-    full = closed(joint).groupBy(*KEYS).agg(F.count("*").alias("n"))
-    over = joint.join(full.where(F.col("n") > budget).select(*KEYS), KEYS, "left_semi")
+    The cells of all eight states are counted without being made; the search for the best step (cells saved over cost, a
+    level band before dropping components on a tie) runs on these counts."""
     options = [(b, d) for d in (1, 0) for b in (0, 2, 3, ERROR)]
-    trial = over.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(d).alias("d")) for b, d in options])))
-    keyed = trial.select(*KEYS, F.col("_s.b").alias("_b"), F.col("_s.d").alias("_d"), *DIMS, "count")
-    small = coarsen(keyed, F.col("_b"), F.col("_d"), [*KEYS, "_b", "_d"])
-    counts = closed(small, [*KEYS, "_b", "_d"]).groupBy(*KEYS, "_b", "_d").agg(F.count("*").alias("n"))
+    counts = _state_counts(joint, options)
     wide = counts.groupBy(*KEYS).agg(*[F.max(F.when((F.col("_b") == b) & (F.col("_d") == d), F.col("n"))).alias(f"n{b}_{d}") for b, d in options])
     state = wide.withColumns({"band_floor": F.lit(0), "floor_depth": F.lit(1)})
     pick = lambda b, d: reduce(lambda acc, o: acc.when((b == o[0]) & (d == o[1]), F.col(f"n{o[0]}_{o[1]}")), options, F.when(F.lit(False), F.lit(None).cast("long")))
@@ -68,13 +107,12 @@ def collapse_states(joint: DataFrame, budget: int = CUBE_BUDGET) -> DataFrame:
         take_where = where_ok & (~band_ok | (by_where * next_b > by_band * 100))
         step = state.withColumns({"_w": F.coalesce(take_where, F.lit(False)), "_k": F.coalesce(band_ok, F.lit(False)), "_nb": next_b})
         state = step.withColumns({"band_floor": F.when(~F.col("_w") & F.col("_k"), F.col("_nb")).otherwise(F.col("band_floor")), "floor_depth": F.when(F.col("_w"), F.col("floor_depth") - 1).otherwise(F.col("floor_depth"))})
-    found = state.select(*KEYS, F.col("band_floor").cast("int").alias("band_floor"), F.col("floor_depth").cast("int").alias("floor_depth"))
-    return full.select(*KEYS).join(found, KEYS, "left").select(*KEYS, F.coalesce("band_floor", F.lit(0)).alias("band_floor"), F.coalesce("floor_depth", F.lit(1)).alias("floor_depth"))
+    return state.select(*KEYS, F.col("band_floor").cast("int").alias("band_floor"), F.col("floor_depth").cast("int").alias("floor_depth"))
 
 
 def bounded(joint: DataFrame, budget: int = CUBE_BUDGET) -> DataFrame:
     """Closed cells of each window at its collapse state."""
-    states = collapse_states(joint, budget)
+    states = materialise(collapse_states(joint, budget), "states")  # as a table, so that the join knows how small it is
     kept = joint.join(states, KEYS)
     small = coarsen(kept, F.col("band_floor"), F.col("floor_depth"), [*KEYS, "band_floor", "floor_depth"])
     return closed(small, [*KEYS, "band_floor", "floor_depth"])
