@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import KEYS, Config
 from ..functions.stats import entropy_bits, surprise_band
+from ..sources.shared import materialise
 from .order import ordered, ranked, with_ordinal, with_previous
 
 
@@ -27,7 +29,7 @@ def ngram_events(events: DataFrame, config: Config = Config()) -> DataFrame:
     if config.max_active_traces == 0:
         return _by_lag(rows, n)
     traces = rows.groupBy(*KEYS).agg(F.countDistinct("_ring").alias("_traces"))
-    crowded = traces.where(F.col("_traces") > config.max_active_traces).select(*KEYS)
+    crowded = materialise(traces.where(F.col("_traces") > config.max_active_traces).select(*KEYS), "crowded")  # read three times
     if not crowded.limit(1).count():
         return _by_lag(rows, n)
     return _by_lag(rows.join(crowded, KEYS, "left_anti"), n).unionByName(_by_replay(rows.join(crowded, KEYS, "left_semi"), n, config.max_active_traces))
@@ -41,30 +43,46 @@ def _by_lag(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _by_replay(rows: DataFrame, n: int, cap: int) -> DataFrame:
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, alone, rings = None, deque(maxlen=n), OrderedDict()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for source, w, ring, at, template in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (source, w) != window:
-                    window, alone, rings = (source, w), deque(maxlen=n), OrderedDict()
-                if ring is None:
-                    ids = alone
-                else:
-                    if ring not in rings:
-                        if len(rings) >= cap:
-                            rings.popitem(last=False)
-                        rings[ring] = deque(maxlen=n)
-                    ids = rings[ring]
-                ids.append(template)
-                if len(ids) == n:
-                    for col, v in zip(out, (source, w, list(ids), at), strict=True):
-                        col.append(v)
-            types = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*KEYS, "ids", "ordinal"])
-
     ordered_rows = rows.select(*KEYS, "_ring", "ordinal", "template_id").repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal")
-    return ordered_rows.mapInArrow(replay, "source string, window_id long, ids array<string>, ordinal long")
+    return ordered_rows.mapInArrow(lambda batches: _replayed(batches, n, cap), "source string, window_id long, ids array<string>, ordinal long")
+
+
+def _replayed(batches: Iterator[pa.RecordBatch], n: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a stream (source, window_id, ring, ordinal, template_id) sorted by window and ordinal. A ring is the
+    tuple of its last ids; only rings and ids become Python values, the other columns are taken by row number."""
+    window, alone, rings, opened = None, (), {}, deque()
+    for batch in batches:
+        size = batch.num_rows
+        if not size:
+            continue
+        named = batch.column(4).dictionary_encode()
+        names = named.dictionary.to_pylist()
+        templates = [None if i is None else names[i] for i in named.indices.to_pylist()]
+        ends = [tuple(batch.column(c)[i].as_py() for c in (0, 1)) for i in (0, size - 1)]
+        # a sorted batch whose ends are in the window has no other window between them
+        keys = repeat(window, size) if ends[0] == ends[1] == window else zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        found, flat = [], []
+        for at, (key, ring, template) in enumerate(zip(keys, batch.column(2).to_pylist(), templates)):
+            if key != window:
+                window, alone, rings, opened = key, (), {}, deque()
+            if ring is None:
+                ids = alone = (*alone[1 - n :], template)
+            else:
+                held = rings.get(ring)
+                if held is None:
+                    if len(rings) >= cap:
+                        del rings[opened.popleft()]
+                    opened.append(ring)
+                    ids = (template,)
+                else:
+                    ids = (*held[1 - n :], template)
+                rings[ring] = ids
+            if len(ids) == n:
+                found.append(at)
+                flat += ids
+        lists = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, n), pa.int32()), pa.array(flat, pa.string()))
+        rows = pa.array(found, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists, batch.column(3).take(rows)], names=[*KEYS, "ids", "ordinal"])
 
 
 def admitted(occurrences: DataFrame, key: list[str], cap: int, keys: list[str] = KEYS) -> DataFrame:
@@ -73,15 +91,24 @@ def admitted(occurrences: DataFrame, key: list[str], cap: int, keys: list[str] =
     return ranked(counts, "_seen", [F.col("_first"), *[F.col(k) for k in key]], keys).withColumn("admitted", F.col("_seen") <= cap).drop("_seen", "_first")
 
 
-def ngrams(events: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def ngram_counts(events: DataFrame, config: Config = Config()) -> DataFrame:
+    """(window, ids, count, admitted) of every n-gram."""
+    return admitted(ngram_events(events, config), ["ids"], config.max_ngram_keys)
+
+
+def split(every: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(table, refused): admitted n-grams with count and conditional probability; observations refused by window."""
-    every = admitted(ngram_events(events, config), ["ids"], config.max_ngram_keys)
     refused = every.groupBy(*KEYS).agg(F.sum(F.when(~F.col("admitted"), F.col("count")).otherwise(0)).alias("dropped_ngram_observations"), F.count_if("admitted").alias("admitted_keys"))
     table = every.where("admitted").drop("admitted")
     prefix = W.partitionBy(*KEYS, F.slice("ids", 1, config.effective_ngram_size - 1))
     return table.withColumn("probability", F.col("count") / F.sum("count").over(prefix)), refused
 
 
+def ngrams(events: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """Both parts of ``split``, of the events' n-grams."""
+    return split(ngram_counts(events, config), config)
+
+
 def top_ngrams(table: DataFrame, size: int) -> DataFrame:
     return ranked(table, "rank", [F.col("count").desc(), F.col("ids")]).where(F.col("rank") <= size)
 

@@ -27,17 +27,18 @@ def field_values(events: DataFrame, slots: int, values: int) -> DataFrame:
     return admitted(param_values(events, slots), ["value"], values, SLOT)
 
 
-def field_histograms(events: DataFrame, slots: int, values: int, approximate: bool = True) -> DataFrame:
-    """Per slot: total, kept_values, kept_count, entropy_bits (of the kept values within the total) and cardinality."""
-    rows = field_values(events, slots, values)
+def field_histograms(events: DataFrame, slots: int, values: int, approximate: bool = True, counted: DataFrame | None = None) -> DataFrame:
+    """Per slot: total, kept_values, kept_count, entropy_bits (of the kept values within the total) and cardinality.
+    ``counted`` are the events' field_values, where they are there already."""
+    rows = field_values(events, slots, values) if counted is None else counted
     total = F.sum("count").over(W.partitionBy(*SLOT))
     kept = rows.withColumn("_n", total).groupBy(*SLOT).agg(
         F.max("_n").alias("total"), F.count_if("admitted").alias("kept_values"), F.sum(F.when(F.col("admitted"), F.col("count")).otherwise(0)).alias("kept_count"),
         entropy_bits(F.when(F.col("admitted"), F.col("count")), F.col("_n")).alias("entropy_bits"))
     if not approximate:
         return kept
-    # the sketch sees values as they came, before repair and caps
-    seen = hll.cardinality(param_values(events, slots).select(*SLOT, "original"), SLOT, "original")
+    # the sketch sees values as they came, before repair and caps; each is hashed once
+    seen = hll.cardinality(param_values(events, slots).select(*SLOT, "original").distinct(), SLOT, "original")
     return kept.join(seen.withColumnRenamed("estimate", "cardinality"), SLOT)
 
 

@@ -75,8 +75,7 @@ def fingerprint(events: DataFrame, config: Config = Config(), reported: DataFram
     ranks = materialise(stats.with_rank(stats.template_stats(rows)), "templates")
     table = refused = edges = held = None
     if "behavior" in blocks or config.reservoir_size:
-        table, refused = behavior.ngrams(rows, config)
-        table = materialise(table, "ngrams")
+        table, refused = behavior.split(materialise(behavior.ngram_counts(rows, config), "ngrams"), config)
         edges = behavior.graph(table)
     if config.reservoir_size:
         held = materialise(salient.reservoir(salient.candidates(ranks, behavior.surprise(edges), config.top_k_size), config), "reservoir")
@@ -111,10 +110,12 @@ def fingerprint(events: DataFrame, config: Config = Config(), reported: DataFram
     header = materialise(header, "header")
     slots = values = bins = None
     if config.max_param_histograms and "histograms" in blocks:
-        keep = top.select(*KEYS, "template_id")
-        values = histograms.field_values(rows, config.max_param_histograms, config.max_histogram_values).join(keep, [*KEYS, "template_id"], "left_semi")
-        slots = histograms.field_histograms(rows, config.max_param_histograms, config.max_histogram_values).join(keep, [*KEYS, "template_id"], "left_semi")
-        bins = histograms.ordinal_bins(rows).drop("component").groupBy(*KEYS, "template_id", "field_name", "schedule", "bin").agg(F.sum("n").alias("n")).join(top.select(*KEYS, "template_id", "component"), [*KEYS, "template_id"])
+        # events of other templates are left out before their values are counted and hashed
+        kept_rows = rows.join(top.select(*KEYS, "template_id"), [*KEYS, "template_id"], "left_semi")
+        values = materialise(histograms.field_values(kept_rows, config.max_param_histograms, config.max_histogram_values), "values")
+        slots = histograms.field_histograms(kept_rows, config.max_param_histograms, config.max_histogram_values, counted=values)
+        bins = histograms.ordinal_bins(kept_rows).drop("component").groupBy(*KEYS, "template_id", "field_name", "schedule", "bin").agg(F.sum("n").alias("n")).join(top.select(*KEYS, "template_id", "component"), [*KEYS, "template_id"])
+        bins = materialise(bins, "bins")
     docs = Documents(header=header, rows=kept, slots=slots, values=values, ordinals=bins, registry=rows.select("template_id", "template_str").distinct())
     if "behavior" in blocks:
         path = behavior.dominant_path(edges, ranks, config.dominant_path_max_steps) if config.dominant_path_max_steps else None
